@@ -18,7 +18,7 @@ def hub_table(spark: SparkSession, hubs=HUBS) -> DataFrame:
 
 def resume_from(hubs: DataFrame, last_hub: str | None) -> DataFrame:
     """Hubs from ``last_hub`` on; all of them if it is unknown."""
-    start = hubs.where(F.col("hub") == F.lit(last_hub)).agg(F.coalesce(F.max("ord"), F.min("ord")))
+    start = hubs.where(F.col("hub") == F.lit(last_hub)).agg(F.max("ord"))
     first = F.coalesce(start.scalar(), F.lit(0))
     return hubs.where(F.col("ord") >= first)
 
