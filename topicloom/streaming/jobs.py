@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from topicloom.operators.classify import TokenBayes, score_documents
 from topicloom.operators.clean import clean_documents
@@ -19,11 +20,16 @@ from topicloom.settings import DEFAULT_LAYOUT, Layout
 from topicloom.sources.tables import ARTICLES, PAGES
 
 
-def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Pages from a folder new Parquet files are dropped in."""
-    return (
-        spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    )
+def file_stream(
+    spark: SparkSession, path: str, schema: StructType = PAGES, files_per_batch: int = 1000
+) -> DataFrame:
+    """Rows of a Parquet table, or of a folder new Parquet files are dropped in.
+
+    The last letter is a glob, since the stream source takes a plain path for a
+    folder and would refuse a table that is one file.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def append_unseen(batch: DataFrame, store: str, key: str, order: list[Column]) -> None:
