@@ -33,23 +33,38 @@ def visible(page: Column) -> Column:
 
 
 def _entity_map() -> Column:
-    pairs = sorted(html.entities.name2codepoint.items())
-    return F.create_map(*[F.lit(x) for name, code in pairs for x in (name, chr(code))])
+    """Named characters as a map literal: one constant the optimizer folds."""
+    pairs = html.entities.name2codepoint.items()
+    text = "\n".join(f"{name} {chr(code)}" for name, code in pairs)
+    return F.str_to_map(F.lit(text), F.lit("\n"), F.lit(" "))
 
 
-def _decode_piece(piece: Column, names: Column) -> Column:
-    ref = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-    digits = F.when(
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _numeric(ref: Column) -> Column:
+    """Character of a numeric reference, NULL for a code that is none."""
+    code = F.when(
         F.lower(F.substring(ref, 1, 2)) == "#x", F.conv(F.substring(ref, 3, 8), 16, 10)
-    ).otherwise(F.substring(ref, 2, 8)).try_cast("int")
-    code = F.when(((digits > 0) & (digits < 0xD800)) | digits.between(0xE000, 0x10FFFF), digits)
-    char = F.when(
-        F.startswith(ref, F.lit("#")),
-        F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"),
-    ).when(ref != "", F.try_element_at(names, ref))
-    return F.when(char.isNull(), F.concat(F.lit("&"), piece)).otherwise(
-        F.concat(char, F.substring(piece, F.length(ref) + F.lit(2), F.length(piece)))
-    )
+    ).otherwise(F.substring(ref, 2, 8))
+
+    def char(n):
+        valid = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    return let(code.try_cast("int"), char)
+
+
+def _decode_piece(piece: Column, names: Column) -> Column:
+    """Text after an ampersand with its reference, if it has one, decoded."""
+    def decoded(ref):
+        char = F.when(F.startswith(ref, F.lit("#")), _numeric(ref)).when(
+            ref != "", F.try_element_at(names, ref)
+        )
+        rest = F.substring(piece, F.length(ref) + F.lit(2), F.length(piece))
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
+
+    return let(F.regexp_extract(piece, _REFERENCE, 1), decoded)
 
 
 def decode_entities(c: Column) -> Column:
@@ -63,7 +78,9 @@ def decode_entities(c: Column) -> Column:
             F.array_join(F.transform(rest, lambda p: _decode_piece(p, names)), ""),
         )
 
-    return F.when(F.contains(c, F.lit("&")), let(F.split(c, "&"), rebuilt)).otherwise(c)
+    return let(
+        c, lambda x: F.when(F.contains(x, F.lit("&")), let(F.split(x, "&"), rebuilt)).otherwise(x)
+    )
 
 
 def strip_tags(c: Column) -> Column:
@@ -106,8 +123,10 @@ def _until_close(tail: Column, tag: str) -> Column:
 
 def element_html(page: Column, sel: Selector) -> Column:
     """Inner HTML of the first element ``sel`` names, NULL if there is none."""
-    tail = F.get(F.split(page, open_tag(sel), 2), F.lit(1))
-    return F.when(tail.isNotNull(), _until_close(tail, sel.tag))
+    return let(
+        F.split(page, open_tag(sel), 2),
+        lambda parts: F.when(F.size(parts) > 1, _until_close(F.get(parts, F.lit(1)), sel.tag)),
+    )
 
 
 def element_text(page: Column, sel: Selector) -> Column:
@@ -128,8 +147,11 @@ def element_texts(page: Column, sel: Selector) -> Column:
 
 def _attr_of(tag_text: Column, attr: str) -> Column:
     pattern = rf"(?is)\s{attr}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-    value = F.concat(*[F.regexp_extract(tag_text, pattern, i) for i in (1, 2, 3)])
-    return F.when(F.rlike(tag_text, F.lit(pattern)), decode_entities(value))
+    def value(tag):
+        groups = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+        return F.when(F.rlike(tag, F.lit(pattern)), decode_entities(groups))
+
+    return let(tag_text, value)
 
 
 def attr_value(page: Column, sel: Selector, attr: str) -> Column:

@@ -88,10 +88,10 @@ def fit_token_bayes(
     docs: DataFrame, label: str, tokens: Column, smoothing: float = 1.0
 ) -> TokenBayes:
     """Count tokens per class once; the model is that table of logarithms."""
-    rows = docs.where(F.col(label).isNotNull()).select(label, tokens.alias("_t"))
+    rows = docs.where(F.col(label).isNotNull())
     stats = (
         rows.groupBy(label)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_t")).alias("tokens"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(label)
         .limit(MAX_CLASSES + 1)
         .collect()
@@ -99,21 +99,20 @@ def fit_token_bayes(
     if len(stats) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
     classes = [r[label] for r in stats]
+    # The token expression goes straight into explode. As a column of its own
+    # it would also be evaluated in a filter Spark infers for its size.
     counts = cut(
-        rows.select(label, F.explode("_t").alias("token"))
+        rows.select(label, F.explode(tokens).alias("token"))
         .groupBy("token")
-        .agg(
-            F.array(
-                *[F.count_if(F.col(label) == F.lit(c)) for c in classes]
-            ).alias("n")
-        )
+        .agg(F.array(*[F.count_if(F.col(label) == F.lit(c)) for c in classes]).alias("n"))
     )
-    size = counts.count()
+    sums = [F.coalesce(F.sum(F.get("n", F.lit(i))), F.lit(0)) for i in range(len(classes))]
+    size, *totals = counts.agg(F.count(F.lit(1)), *sums).first()
     n_docs = sum(r["n"] for r in stats)
     priors = [
         math.log(r["n"] + smoothing) - math.log(n_docs + smoothing * len(classes)) for r in stats
     ]
-    base = [math.log(r["tokens"] + smoothing * size) for r in stats]
+    base = [math.log(t + smoothing * size) if size else 0.0 for t in totals]
     weights = counts.select(
         "token",
         F.array(

@@ -12,7 +12,7 @@ from topicloom.operators import (
     classify, clean, extract, frontier, joins, metrics, ranking, similar, split, summary, vocab,
 )
 from topicloom.plans import corpus, training
-from topicloom.runtime import scratch
+from topicloom.runtime import scratch, spread
 from topicloom.settings import NO_TEXT, SERVE_MAX_LEN, UNK, Layout, Selector
 from topicloom.sources import tables, vocab_json
 from topicloom.streaming import jobs
@@ -35,16 +35,16 @@ def query(fn):
     return fn
 
 
-def _table(name: str):
+def _table(name: str, heavy: bool = False):
     def read(spark: SparkSession, sf: str) -> DataFrame:
-        return tables.read_table(spark, sf, name)
+        df = tables.read_table(spark, sf, name)
+        return spread(df) if heavy else df
 
     return read
 
 
-_documents, _pages, _talks = _table("documents"), _table("pages"), _table("conversations")
-_embeddings, _marks = _table("embeddings"), _table("labels")
-_benchmark, _events = _table("benchmark"), _table("events")
+_documents, _pages, _talks = (_table(n, heavy=True) for n in ("documents", "pages", "conversations"))
+_embeddings, _marks, _events = (_table(n) for n in ("embeddings", "labels", "events"))
 
 
 def _hub() -> Column:

@@ -44,9 +44,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it from there."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and read it from there.
+
+    As lasting as a checkpoint, but computed once, and later reads see only
+    the columns they need.
+    """
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _width(field: T.StructField):
@@ -71,3 +76,16 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[DataFrame,
     """
     fits = size_bytes(df) <= limit
     return (F.broadcast(df) if fits else df), fits
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it is read in too few pieces to use them.
+
+    For work that is heavy per row on a small input, such as one file with one
+    row group. A scan with enough splits is left alone, so a large table is not
+    shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or 2 * df.rdd.getNumPartitions() > cores:
+        return df
+    return df.repartition(cores)
