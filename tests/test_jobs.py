@@ -2,9 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from topicloom.functions.text import tokenize
 from topicloom.operators import extract
-from topicloom.operators.vocab import build_vocab
 from topicloom.plans import corpus, training
 from topicloom.plans.queries import SITE, SITE_ID, _hub
 from topicloom.sources import tables, vocab_json
@@ -65,12 +63,12 @@ def test_stream_resumes_and_equals_batch(spark, sf, tmp_path):
     assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
 
 
-def test_append_unseen_is_idempotent(spark, tmp_path):
+def test_unseen_rows_are_added_once(spark, tmp_path):
     store = str(tmp_path / "store")
     df = spark.createDataFrame([("u1", 1), ("u1", 0), ("u2", 5)], "url string, x int")
     df.limit(0).write.parquet(store)
     for _ in range(2):
-        jobs.append_unseen(df, store, "url", [F.col("x")])
+        jobs.unseen_in(df, store, "url", [F.col("x")]).write.mode("append").parquet(store)
     assert sorted(tuple(r) for r in spark.read.parquet(store).collect()) == [("u1", 0), ("u2", 5)]
 
 
@@ -98,9 +96,3 @@ def test_prepare_is_independent_of_partitions(spark, sf):
     ]
     assert runs[0] == runs[1]
     assert sum("val" in r for r in runs[0]) == int(0.05 * docs.count())
-
-
-def test_vocab_plan_has_hash_aggregate(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    place = build_vocab(docs, "doc_id", tokenize(F.col("text")))
-    assert place.where("idx = 0").first()["token"] == "<unk>"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions.arrays import argmax, softmax
-from topicloom.functions.text import preview, tokenize
+from topicloom.functions.text import normalize, preview, tokenize
 from topicloom.operators.joins import lookup_join
 from topicloom.operators.metrics import evaluation
 from topicloom.operators.vocab import _token_rows_outer
@@ -123,23 +125,22 @@ def fit_token_bayes(
 
 
 def respond(
-    df: DataFrame, text: Column, tokens: Column, logits: Column, keep: list[str]
+    df: DataFrame, text: Column, normal: Column, logits: Column, keep: list[str]
 ) -> DataFrame:
     """The response of the classifier for every row, errors as data.
 
-    Missing or empty texts get an error message, class -1 and empty arrays.
+    ``normal`` is the normalised text. Missing or empty texts get an error
+    message, class -1 and empty arrays.
     """
     error = F.when(text.isNull(), F.lit("text is missing")).when(
-        F.size(tokens) == 0, F.lit("text has no tokens")
-    ).when(logits.isNull(), F.lit("text was not scored"))
-    ok = error.isNull()
+        normal == "", F.lit("text has no tokens")
+    ).when(logits.isNull(), F.lit("text has no id"))
     none = F.array().cast("array<double>")
-    scored = F.when(ok, logits).otherwise(none)
     base = df.select(
         *keep,
         F.coalesce(preview(text), F.lit("")).alias("text"),
-        F.coalesce(F.array_join(tokens, " "), F.lit("")).alias("preprocessed_text"),
-        scored.alias("logits"),
+        F.coalesce(normal, F.lit("")).alias("preprocessed_text"),
+        F.when(error.isNull(), logits).otherwise(none).alias("logits"),
         error.alias("error"),
     )
     return base.select(
@@ -156,11 +157,23 @@ def respond(
 def score_documents(
     docs: DataFrame, ids: list[str], model: TokenBayes, text: str = "text", keep: tuple = ()
 ) -> DataFrame:
-    """Score every text: preview, class, probabilities, logits or an error."""
-    tokens = tokenize(F.col(text))
-    logits = model.logits(docs, ids, tokens).select(*ids, "logits")
-    joined = docs.select(*ids, *keep, text, tokens.alias("_tokens")).join(logits, ids, "left")
-    return respond(joined, F.col(text), F.col("_tokens"), F.col("logits"), [*ids, *keep])
+    """Score every text: preview, class, probabilities, logits or an error.
+
+    Texts are placed by ``ids`` once; scoring them and joining the logits back
+    both use that one exchange. Spark only reuses it if both sides drop NULL
+    ids, so texts without an id, which get an error, are added separately.
+    """
+    rows = docs.select(*ids, *keep, text)
+    named = reduce(and_, [F.col(i).isNotNull() for i in ids])
+    placed = rows.where(named).repartition(*ids)
+    logits = model.logits(placed, ids, tokenize(F.col(text))).select(*ids, "logits")
+    nameless = rows.where(~named).withColumn("logits", F.lit(None).cast("array<double>"))
+    joined = (
+        placed.join(logits, ids, "left")
+        .unionByName(nameless)
+        .withColumn("_normal", normalize(F.col(text)))
+    )
+    return respond(joined, F.col(text), F.col("_normal"), F.col("logits"), [*ids, *keep])
 
 
 # --- pyspark.ml classifiers --------------------------------------------------
@@ -219,7 +232,12 @@ def apply_topic_model(model: PipelineModel, df: DataFrame) -> DataFrame:
 def choose_model(
     train: DataFrame, val: DataFrame, label: str, kinds: list[str], params: dict | None = None
 ) -> DataFrame:
-    """Accuracy, macro F1 and loss on ``val`` of every kind, best F1 first."""
+    """Accuracy, macro F1 and loss on ``val`` of every kind, best F1 first.
+
+    Every fit passes over the rows several times, so both sides are written
+    once with their tokens.
+    """
+    train, val = (cut(df.select(label, "tokens")) for df in (train, val))
     results = None
     for kind in kinds:
         scored = apply_topic_model(train_topic_model(train, kind, label, params), val)
@@ -242,8 +260,8 @@ def multilabel_baseline(
         inputCol="tokens", outputCol="tf", numFeatures=params.get("features", HASH_FEATURES)
     )
     features = Pipeline(stages=[hashing, IDF(inputCol="tf", outputCol="features")]).fit(train)
-    seen = features.transform(train).select(*labels, "features").persist()
-    unseen = features.transform(test).select(*ids, "features").persist()
+    seen = cut(features.transform(train).select(*labels, "features"))
+    unseen = cut(features.transform(test).select(*ids, "features"))
     out = None
     for name in labels:
         fitted = LogisticRegression(

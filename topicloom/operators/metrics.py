@@ -68,13 +68,44 @@ def macro_f1(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFra
 
 
 def evaluation(df: DataFrame, label: str = "label", pred: str = "pred", logits: str = "logits"):
-    """Accuracy, macro F1 and loss of a scored test set."""
-    loss = df.agg(
-        F.avg((F.col(label) == F.col(pred)).cast("double")).alias("accuracy"),
-        F.avg(log_loss(F.col(logits), F.col(label))).alias("loss"),
-        F.count(F.lit(1)).alias("n"),
+    """Rows, accuracy, macro F1 and loss of a scored test set, scored once.
+
+    Everything follows from one row per (true, predicted) class with its count
+    and summed loss. Rows without a true class are left out.
+    """
+    cells = (
+        df.where(F.col(label).isNotNull())
+        .groupBy(label, pred)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(log_loss(F.col(logits), F.col(label))).alias("loss"),
+        )
+    )
+    right = F.col(label) == F.col(pred)
+    hits = F.when(right, F.col("n")).otherwise(0)
+    zero, none = F.lit(0).cast("bigint"), F.lit(0.0)
+    as_true = F.struct(
+        F.col(label).alias("cls"), hits.alias("tp"), F.col("n").alias("true"), zero.alias("pred"),
+        F.col("loss").alias("loss"),
+    )
+    as_pred = F.struct(
+        F.col(pred).alias("cls"), zero.alias("tp"), zero.alias("true"), F.col("n").alias("pred"),
+        none.alias("loss"),
+    )
+    per_class = (
+        cells.select(F.explode(F.array(as_true, as_pred)).alias("s"))
+        .select("s.*")
+        .groupBy("cls")
+        .agg(*[F.sum(c).alias(c) for c in ("tp", "true", "pred", "loss")])
+    )
+    f1 = 2.0 * F.col("tp") / (F.col("true") + F.col("pred"))
+    n = F.sum("true")
+    return per_class.agg(
+        n.alias("n"),
+        F.try_divide(F.sum("tp").cast("double"), n).alias("accuracy"),
+        F.avg(f1).alias("macro_f1"),
+        F.try_divide(F.sum("loss"), n).alias("loss"),
     )
-    return loss.withColumn("macro_f1", macro_f1(df, label, pred).scalar())
 
 
 def multilabel_f1(truth: DataFrame, pred: DataFrame, ids: list[str], label: str = "label"):
@@ -127,17 +158,15 @@ def rouge_n(pairs: DataFrame, ids: list[str], candidate: str, reference: str, n:
     is summed in the map task before the shuffle.
     """
     def side(col, is_cand):
-        return pairs.select(
-            *ids,
-            F.explode_outer(ngrams(F.col(col), n)).alias("gram"),
-            F.lit(is_cand).alias("c"),
+        return F.transform(
+            ngrams(F.col(col), n), lambda g: F.struct(g.alias("gram"), F.lit(is_cand).alias("c"))
         )
 
+    both = F.explode_outer(F.concat(side(candidate, 1), side(reference, 0))).alias("g")
     per_gram = (
-        side(candidate, 1)
-        .unionByName(side(reference, 0))
-        .groupBy(*ids, "gram")
-        .agg(F.sum("c").alias("in_cand"), F.sum(1 - F.col("c")).alias("in_ref"))
+        pairs.select(*ids, both)
+        .groupBy(*ids, F.col("g.gram").alias("gram"))
+        .agg(F.sum("g.c").alias("in_cand"), F.sum(1 - F.col("g.c")).alias("in_ref"))
     )
     real = F.col("gram").isNotNull()
     sums = per_gram.groupBy(*ids).agg(

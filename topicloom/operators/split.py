@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.operators.joins import lookup_join
 from topicloom.runtime import cut, small_side
 from topicloom.settings import SEED, TEST_PART, VAL_PART
 
@@ -37,12 +38,11 @@ def _borders(df: DataFrame, id_col: str, by: Column, part: float, seed: int) ->
         .select("_by", "_bin", (F.col("_k") - F.col("_below")).alias("_left"))
     )
     bins, _ = small_side(cut(bins))
-    k, b = keys.alias("k"), bins.alias("b")
-    last = k.join(
-        b, F.col("k._by").eqNullSafe(F.col("b._by")) & (F.col("k._bin") == F.col("b._bin"))
-    ).select("k._by", "_id", "_h", "_left")
     rank = F.row_number().over(Window.partitionBy("_by").orderBy("_h", "_id"))
-    return last.withColumn("_r", rank).where(F.col("_r") == F.col("_left")).select("_by", "_h", "_id")
+    last = keys.join(bins, ["_by", "_bin"]).withColumn("_r", rank)
+    return last.where(F.col("_r") == F.col("_left")).select(
+        "_by", F.col("_h").alias("_last"), F.col("_id").alias("_last_id")
+    )
 
 
 def stratified_split(
@@ -58,17 +58,14 @@ def stratified_split(
 
     The same rows are chosen however the data is partitioned. Documents are
     only compared with the border of their class; they are not shuffled while
-    the borders can be broadcast.
+    the borders can be broadcast. A missing class is a class of its own.
     """
-    borders, _ = small_side(cut(_borders(df, id_col, F.col(by), part, seed)))
-    d = df.withColumn("_hash", _hash(id_col, seed)).alias("d")
-    b = borders.alias("b")
-    chosen = (F.col("d._hash") < F.col("b._h")) | (
-        (F.col("d._hash") == F.col("b._h")) & (F.col(f"d.{id_col}") <= F.col("b._id"))
-    )
-    return d.join(b, F.col(f"d.{by}").eqNullSafe(F.col("b._by")), "left").select(
-        *[F.col(f"d.{c}") for c in df.columns],
-        F.when(chosen, F.lit(names[1])).otherwise(F.lit(names[0])).alias(column),
+    key = F.array(F.col(by))  # equal also where the class is NULL
+    borders = cut(_borders(df, id_col, key, part, seed))
+    h = _hash(id_col, seed)
+    chosen = (h < F.col("_last")) | ((h == F.col("_last")) & (F.col(id_col) <= F.col("_last_id")))
+    return lookup_join(df.withColumn("_by", key), borders, "_by").select(
+        *df.columns, F.when(chosen, F.lit(names[1])).otherwise(F.lit(names[0])).alias(column)
     )
 
 
@@ -88,5 +85,6 @@ def exact_split(
     if border is None:
         return df.withColumn(column, F.lit(names[0]))
     h = _hash(id_col, seed)
-    chosen = (h < border["_h"]) | ((h == border["_h"]) & (F.col(id_col) <= border["_id"]))
+    last, last_id = border["_last"], border["_last_id"]
+    chosen = (h < last) | ((h == last) & (F.col(id_col) <= last_id))
     return df.withColumn(column, F.when(chosen, F.lit(names[1])).otherwise(F.lit(names[0])))

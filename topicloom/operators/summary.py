@@ -61,11 +61,13 @@ def extractive_summary(
 ) -> DataFrame:
     """``(id, summary)``: the ``k`` sentences with the highest mean IDF, in text order.
 
-    Only ids, positions and tokens are shuffled; the sentences are picked from
-    the text at the end.
+    Texts are placed by id once. While the IDF table can be broadcast, scoring,
+    ranking and picking the sentences all use that one exchange. A text without
+    an id gets the empty summary.
     """
     weights = cut(idf if idf is not None else idf_table(docs, tokenize(F.col(text))))
-    parts = docs.select(id_col, F.posexplode(sentences(F.col(text))).alias("sent", "sentence"))
+    placed = docs.where(F.col(id_col).isNotNull()).select(id_col, text).repartition(id_col)
+    parts = placed.select(id_col, F.posexplode(sentences(F.col(text))).alias("sent", "sentence"))
     rows = parts.select(id_col, "sent", F.explode(tokenize(F.col("sentence"))).alias("token"))
     scored = (
         lookup_join(rows, weights.select("token", "idf"), "token")
@@ -74,9 +76,12 @@ def extractive_summary(
     )
     best = top_per_group(scored, [id_col], [F.col("score").desc(), F.col("sent")], k)
     picked = best.groupBy(id_col).agg(F.array_sort(F.collect_list("sent")).alias("at"))
+
     def joined(parts):
         return F.array_join(F.transform("at", lambda i: F.get(parts, i)), " ")
 
-    return docs.select(id_col, text).join(picked, id_col, "left").select(
+    summaries = placed.join(picked, id_col, "left").select(
         id_col, F.coalesce(let(sentences(F.col(text)), joined), F.lit("")).alias("summary")
     )
+    nameless = docs.where(F.col(id_col).isNull()).select(id_col, F.lit("").alias("summary"))
+    return summaries.unionByName(nameless)

@@ -9,6 +9,7 @@ from topicloom.operators.clean import clean_documents
 from topicloom.operators.extract import extract_articles
 from topicloom.operators.frontier import new_links
 from topicloom.operators.ranking import first_per_key
+from topicloom.runtime import cut, small_side
 from topicloom.settings import DEFAULT_LAYOUT, Layout
 
 
@@ -24,6 +25,7 @@ def collect_articles(
     ``links`` has ``hub``, ``url`` and the columns of ``order``.
     """
     fresh = new_links(links, store, order).select(F.col("hub").alias("_hub"), "url")
+    fresh, _ = small_side(cut(fresh))
     return extract_articles(pages.join(fresh, "url"), F.col("_hub"), layout)
 
 

@@ -194,9 +194,9 @@ def hub_resume(spark, sf):
 
 @query
 def hubs_without_links(spark, sf):
-    hubs = _links(spark, sf).select(F.col("url").alias("hub")).distinct()
-    fresh = joins.unseen(_links(spark, sf), _stored(spark, sf)).select(F.col("url").alias("hub"))
-    return frontier.hubs_without_links(hubs, fresh)
+    hubs = _links(spark, sf).select("url").distinct()
+    fresh = joins.unseen(hubs, _stored(spark, sf)).select(F.col("url").alias("hub"))
+    return frontier.hubs_without_links(hubs.select(F.col("url").alias("hub")), fresh)
 
 
 @query

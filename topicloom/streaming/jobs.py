@@ -13,9 +13,10 @@ from pyspark.sql.types import StructType
 
 from topicloom.operators.classify import TokenBayes, score_documents
 from topicloom.operators.clean import clean_documents
-from topicloom.operators.extract import extract_articles
+from topicloom.operators.extract import extract_articles, fetched
 from topicloom.operators.joins import unseen
 from topicloom.operators.ranking import first_per_key
+from topicloom.runtime import cut, small_side
 from topicloom.settings import DEFAULT_LAYOUT, Layout
 from topicloom.sources.tables import ARTICLES, PAGES
 
@@ -32,21 +33,15 @@ def file_stream(
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def append_unseen(batch: DataFrame, store: str, key: str, order: list[Column]) -> None:
-    """Append the rows whose key the store lacks, one per key.
+def unseen_in(batch: DataFrame, store: str, key: str, order: list[Column]) -> DataFrame:
+    """The rows whose key the store lacks, one per key, the first in ``order``.
 
-    The store is only reduced to the keys of this batch, which needs its key
-    column and no shuffle of it while the batch's keys are small. A repeated
-    batch finds its own rows in the store, so nothing is added twice.
+    The store is only asked for the keys of this batch. They are broadcast
+    while they are few, so the store's key column is read but not shuffled.
     """
-    batch = batch.persist()
-    try:
-        kept = batch.sparkSession.read.parquet(store).select(key)
-        known = kept.join(batch.select(key).distinct(), key, "left_semi").distinct()
-        fresh = unseen(first_per_key(batch, key, order), known, key)
-        fresh.write.mode("append").parquet(store)
-    finally:
-        batch.unpersist()
+    keys, _ = small_side(cut(batch.select(key).distinct()))
+    known = batch.sparkSession.read.parquet(store).select(key).join(keys, key, "left_semi")
+    return unseen(first_per_key(batch, key, order), known.distinct(), key)
 
 
 def ingest(
@@ -56,14 +51,17 @@ def ingest(
     category: Column,
     layout: Layout = DEFAULT_LAYOUT,
 ) -> StreamingQuery:
-    """Extract arriving pages and append the articles that are new."""
+    """Append the articles of arriving pages that are not stored.
+
+    Only new pages are extracted. A repeated batch finds its own rows in the
+    store, so nothing is added twice.
+    """
     spark = pages.sparkSession
     spark.createDataFrame([], ARTICLES).write.mode("append").parquet(store)
 
     def take(batch: DataFrame, _: int) -> None:
-        articles = extract_articles(batch, category, layout, keep=("page_id",))
-        rows = first_per_key(articles, "url", [F.col("page_id")]).drop("page_id")
-        append_unseen(rows, store, "url", [F.col("category")])
+        fresh = unseen_in(fetched(batch), store, "url", [F.col("page_id")])
+        extract_articles(fresh, category, layout).write.mode("append").parquet(store)
 
     return (
         pages.writeStream.foreachBatch(take)
