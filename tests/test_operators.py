@@ -68,10 +68,11 @@ def test_lookup_join_splits_hot_keys(spark):
     dim = [("hot", 1)] + [(f"k{i}", i) for i in range(0, 300, 6)]
     f = spark.createDataFrame(facts, "i int, k string")
     d = spark.createDataFrame(dim, "k string, v int")
-    want = sorted((i, k, dict(dim).get(k, -1)) for i, k in facts)
+    f = f.union(spark.createDataFrame([(-i, None) for i in range(1, 200)], f.schema))
+    want = sorted([(i, k, dict(dim).get(k, -1)) for i, k in facts] + [(-i, "", -1) for i in range(1, 200)])
     for limit in (0, 1 << 20):
         got = joins.lookup_join(f, d, "k", limit, hot_share=0.1)
-        assert rows(got, "i", "k", F.coalesce("v", F.lit(-1))) == want
+        assert rows(got, "i", F.coalesce("k", F.lit("")), F.coalesce("v", F.lit(-1))) == want
 
 
 def test_dense_index(spark):

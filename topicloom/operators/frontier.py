@@ -99,11 +99,3 @@ def link_report(hubs: DataFrame, links: DataFrame, fresh: DataFrame) -> DataFram
 def hubs_without_links(hubs: DataFrame, links: DataFrame) -> DataFrame:
     """Hubs no link was found for."""
     return hubs.join(links.select("hub").distinct(), "hub", "left_anti")
-
-
-def counts(df: DataFrame, **predicates: Column) -> DataFrame:
-    """Total rows and rows per predicate in one pass."""
-    return df.agg(
-        F.count(F.lit(1)).alias("total"),
-        *[F.count_if(p).alias(name) for name, p in predicates.items()],
-    )

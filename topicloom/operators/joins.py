@@ -20,17 +20,22 @@ def lookup_join(
     A dimension measured below ``limit`` bytes is broadcast. A larger one is
     joined in two parts: keys that hold at least ``hot_share`` of the fact rows
     (there are at most ``1 / hot_share`` of them) by broadcasting just their
-    dimension rows, all other keys by a shuffle in which no key is hot.
+    dimension rows, all other keys by a shuffle in which no key is hot. Rows
+    without a key match nothing and are not shuffled at all.
     """
     dim, fits = small_side(dim, limit)
     if fits:
         return facts.join(dim, on, "left")
-    counts = cut(facts.groupBy(on).agg(F.count(F.lit(1)).alias("_n")))
+    keyed = facts.where(F.col(on).isNotNull())
+    counts = cut(keyed.groupBy(on).agg(F.count(F.lit(1)).alias("_n")))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     hot = cut(counts.where(F.col("_n") >= total * hot_share).select(on).join(dim, on, "left"))
-    head = facts.join(F.broadcast(hot), on, "inner")
-    tail = facts.join(F.broadcast(hot.select(on)), on, "left_anti").join(dim, on, "left")
-    return head.unionByName(tail)
+    head = keyed.join(F.broadcast(hot), on, "inner")
+    tail = keyed.join(F.broadcast(hot.select(on)), on, "left_anti").join(dim, on, "left")
+    keyless = facts.where(F.col(on).isNull()).withColumns(
+        {f.name: F.lit(None).cast(f.dataType) for f in dim.schema.fields if f.name != on}
+    )
+    return head.unionByName(tail).unionByName(keyless)
 
 
 def unseen(rows: DataFrame, store: DataFrame, key: str = "url") -> DataFrame:

@@ -89,7 +89,7 @@ def _where_split(part: str, n: str = "documents") -> str:
 SQL["csv_roundtrip"] = "SELECT doc_id, lang, source, text FROM documents"
 SQL["pages_scan"] = f"SELECT page_id, url, {_LANG} AS hub, length(html) AS n_chars FROM pages"
 SQL["docs_by_category"] = (
-    f"SELECT page_id, {_LANG} AS category, url, {_H1} AS title FROM pages WHERE {_LANG} IN ('en', 'fr')"
+    f"SELECT page_id, {_LANG} AS category, url, {_H1} AS title FROM pages"
 )
 SQL["extract_errors"] = """
 SELECT url, unnest(['no tags', 'no date']) AS error FROM pages
@@ -297,8 +297,7 @@ f AS (SELECT cls, 2.0 * sum(tp) / (2.0 * sum(tp) + sum(fp) + sum(fn)) AS f1
 SELECT count(*) AS n, round(avg((truth = pred)::INT), 6) AS accuracy,
        round((SELECT avg(f1) FROM f), 6) AS macro_f1, round(avg(loss), 6) AS loss FROM r"""
 SQL["best_runs_topk"] = """
-SELECT event_id AS run_id, value AS val_loss FROM events WHERE event_type = 'view'
-ORDER BY value, event_id LIMIT 5"""
+SELECT event_id AS run_id, value AS val_loss FROM events ORDER BY value, event_id LIMIT 5"""
 
 SQL["accuracy"] = f"SELECT round(avg((label = pred)::INT), 9) AS accuracy FROM ({_SCORED})"
 SQL["macro_f1"] = f"""
@@ -340,6 +339,24 @@ SELECT conv_id, turn, o::BIGINT AS overlap, {_RATES} FROM a"""
 
 SQL["rouge_1"] = _rouge(1)
 SQL["rouge_2"] = _rouge(2)
+# One row of the subsequence table per candidate token: the running maximum is
+# the step along the reference.
+SQL["rouge_l"] = f"""
+WITH RECURSIVE t AS ({_TURNS}),
+c AS (SELECT conv_id, turn, i, cand[i] AS w FROM (SELECT *, unnest(range(1, len(cand) + 1)) AS i FROM t)),
+r AS (SELECT conv_id, turn, j, ref[j] AS w FROM (SELECT *, unnest(range(1, len(ref) + 1)) AS j FROM t)),
+s AS (
+  SELECT conv_id, turn, 0::BIGINT AS i, j, w, 0::BIGINT AS v FROM r
+  UNION ALL
+  SELECT conv_id, turn, i, j, w, max(x) OVER (PARTITION BY conv_id, turn ORDER BY j) AS v
+  FROM (SELECT s.conv_id, s.turn, c.i, s.j, s.w,
+               greatest(s.v, CASE WHEN s.w = c.w THEN 1 + coalesce(
+                 lag(s.v) OVER (PARTITION BY s.conv_id, s.turn ORDER BY s.j), 0) ELSE 0 END) AS x
+        FROM s JOIN c ON c.conv_id = s.conv_id AND c.turn = s.turn AND c.i = s.i + 1)),
+o AS (SELECT conv_id, turn, max(v) AS o FROM s GROUP BY conv_id, turn),
+a AS (SELECT t.conv_id, t.turn, coalesce(o.o, 0)::DOUBLE AS o, len(cand)::DOUBLE AS nc, len(ref)::DOUBLE AS nr
+      FROM t LEFT JOIN o USING (conv_id, turn))
+SELECT conv_id, turn, o::BIGINT AS overlap, {_RATES} FROM a"""
 SQL["v_measure"] = f"""
 WITH r AS ({_SCORED}),
 ck AS (SELECT cluster AS c, pred AS k, count(*)::DOUBLE AS n FROM r GROUP BY ALL),

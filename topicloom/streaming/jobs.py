@@ -29,6 +29,7 @@ def file_stream(
     The last letter is a glob, since the stream source takes a plain path for a
     folder and would refuse a table that is one file.
     """
+    path = path.rstrip("/")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
