@@ -36,6 +36,15 @@ def test_vocab_is_first_seen_order(spark, parts):
     assert got == {"<unk>": (0, 0), "c": (1, 2), "a": (2, 2), "b": (3, 2), "d": (4, 2)}
 
 
+def test_vocab_of_far_ids_and_long_texts(spark, monkeypatch):
+    want = {"<unk>": 0, "z": 1, "y": 2, "x": 3}
+    far = spark.createDataFrame([((1 << 62), "x y"), (-(1 << 62), "z y z")], "doc_id bigint, text string")
+    assert dict(rows(vocab.build_vocab(far, "doc_id", tok()), "token", "idx")) == want
+    monkeypatch.setattr(vocab, "_POS_BITS", 1)  # a third position does not fit
+    near = spark.createDataFrame([(8, "x y"), (7, "z y z")], "doc_id bigint, text string")
+    assert dict(rows(vocab.build_vocab(near, "doc_id", tok()), "token", "idx")) == want
+
+
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_encode_keeps_every_document(spark, limit):
     words = vocab.build_vocab(docs(spark).where("doc_id < 5"), "doc_id", tok())

@@ -27,19 +27,42 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def build_vocab(docs: DataFrame, id_col: str, tokens: Column, unk: str = UNK) -> DataFrame:
-    """``(token, idx, n)``: ``unk`` is 0, then tokens in first-seen order.
+# Bits of a position inside a packed place; the id gets the rest of a long.
+_POS_BITS = 24
+
 
-    First seen is by ``id_col`` (an integer), then position. Both are packed
-    into one decimal, so the smallest one is found in a hash aggregate, in the
-    map tasks already.
+def _place(id_col: str, low: int | None) -> Column:
+    """Id and position as one number that orders like the pair.
+
+    With the smallest id given it is a long, otherwise a decimal that takes any
+    pair. Either way a hash aggregate can keep the minimum, which it could not
+    for a struct.
     """
-    rows = token_rows(docs, [id_col], tokens)
-    place = F.col(id_col).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
+    if low is not None:
+        return F.shiftleft(F.col(id_col) - F.lit(low), _POS_BITS) + F.col("pos")
+    wide = F.col(id_col).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
+    return wide + F.col("pos")
+
+
+def _indexed(rows: DataFrame, place: Column) -> DataFrame:
     seen = rows.groupBy("token").agg(
-        F.min(place).alias("_place"), F.count(F.lit(1)).alias("n")
+        F.min(place).alias("_place"), F.max("pos").alias("_far"), F.count(F.lit(1)).alias("n")
     )
-    indexed = dense_index(seen.where(F.col("token") != unk), ["_place"], "idx", UNK_ID + 1)
+    return dense_index(seen, ["_place"], "idx", UNK_ID + 1)
+
+
+def build_vocab(docs: DataFrame, id_col: str, tokens: Column, unk: str = UNK) -> DataFrame:
+    """``(token, idx, n)``: ``unk`` is 0, then tokens in first-seen order.
+
+    First seen is by ``id_col`` (an integer), then position. Counts and first
+    places are found in the map tasks already, so a token travels once per task.
+    """
+    rows = token_rows(docs, [id_col], tokens).where(F.col("token") != unk)
+    low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
+    packs = low is not None and high - low < 1 << (63 - _POS_BITS)
+    indexed = _indexed(rows, _place(id_col, low if packs else None))
+    if packs and (indexed.agg(F.max("_far")).first()[0] or 0) >= 1 << _POS_BITS:
+        indexed = _indexed(rows, _place(id_col, None))
     special = docs.sparkSession.range(1).select(
         F.lit(unk).alias("token"), F.lit(UNK_ID).cast("bigint").alias("idx"),
         F.lit(0).cast("bigint").alias("n"),

@@ -458,7 +458,7 @@ def softmax(spark, sf):
 
 @query
 def argmax_class(spark, sf):
-    return _scored(spark, sf).select("vec_id", F.col("pred").cast("bigint").alias("pred"))
+    return _scored(spark, sf).select("vec_id", "pred")
 
 
 def _response(scored: DataFrame, ids: list[str]) -> DataFrame:
