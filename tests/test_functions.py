@@ -147,6 +147,11 @@ def test_missing_elements(spark):
     assert one(spark, "t string", page, html.element_texts(F.col("t"), DEFAULT_LAYOUT.hubs)) == []
 
 
+def test_hidden_text(spark):
+    page = "a<!-- x --><ruby>b<rp>(</rp><rt>c<rp>)</ruby><STYLE>s</style >d<template><p>t</p></template>e<script>f"
+    assert one(spark, "t string", page, html.strip_tags(html.visible(F.col("t")))) == "abde"
+
+
 def test_unclosed_element_runs_to_the_end(spark):
     page = "<article><b>x<p>y"
     assert one(spark, "t string", page, html.element_text(F.col("t"), Selector("article"))) == "xy"
@@ -155,3 +160,10 @@ def test_unclosed_element_runs_to_the_end(spark):
 def test_sentences(spark):
     got = one(spark, "t string", "One two. Three! \nFour?? five", text.sentences(F.col("t")))
     assert got == ["One two.", "Three!", "Four??", "five"]
+
+
+def test_large_page(spark):
+    inner = "<div>x&amp;</div><script>a</script>" * 30000
+    page = f'<div id="post-content-body">{inner}</div>' + "<script>" * 2000 + "y" * 1000000
+    df = spark.createDataFrame([(page,)], "t string").select(html.visible(F.col("t")).alias("t"))
+    assert df.select(html.element_text(F.col("t"), DEFAULT_LAYOUT.body)).first()[0] == "x&" * 30000

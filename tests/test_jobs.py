@@ -45,10 +45,11 @@ def test_category_folders(spark, tmp_path):
 
 def test_stream_resumes_and_equals_batch(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    drops, store, progress = (str(tmp_path / n) for n in ("drops", "store", "progress"))
+    drops, store, progress, errors = (str(tmp_path / n) for n in ("drops", "store", "progress", "errors"))
 
     def run():
-        jobs.ingest(jobs.file_stream(spark, drops), store, progress, _hub(), SITE).awaitTermination()
+        stream = jobs.file_stream(spark, drops)
+        jobs.ingest(stream, store, progress, _hub(), SITE, errors).awaitTermination()
         return spark.read.parquet(store).count()
 
     half = pages.where("page_id < 20")
@@ -61,6 +62,9 @@ def test_stream_resumes_and_equals_batch(spark, sf, tmp_path):
     want = extract.extract_articles(pages, _hub(), SITE)
     got = spark.read.parquet(store)
     assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
+    logged = spark.read.parquet(errors)
+    assert {r["error"] for r in logged.select("error").distinct().collect()} == {"no tags", "no date"}
+    assert logged.select("url").distinct().count() == pages.count()
 
 
 def test_unseen_rows_are_added_once(spark, tmp_path):

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from topicloom.functions.arrays import let
 from topicloom.settings import Selector
 
-_HIDDEN = r"(?is)<!--.*?-->|<(script|style|template|rt|rp)\b[^>]*>.*?</\1\s*>"
+# What never closes runs to the end, which also keeps the search linear.
+_HIDDEN = (
+    r"(?is)<!--.*?(?:-->|\z)"
+    r"|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\z)"
+    r"|<(rt|rp)\b[^>]*>[^<]*(?:</\2\s*>)?"
+)
 
 
 def _attr_test(sel: Selector) -> str:

@@ -96,7 +96,7 @@ SELECT url, unnest(['no tags', 'no date']) AS error FROM pages
 UNION ALL SELECT url, 'no hubs' FROM pages WHERE NOT contains(html, '<a ')
 UNION ALL SELECT url, 'no text' FROM pages WHERE NOT contains(html, '<article>')
 UNION ALL SELECT url, 'no title' FROM pages WHERE NOT contains(html, '<h1>')"""
-SQL["vocab_json_roundtrip"] = f"SELECT token, idx FROM ({_VOCAB})"
+SQL["vocab_json"] = f"SELECT token, idx FROM ({_VOCAB})"
 
 SQL["last_page"] = _LAST
 SQL["hub_frontier"] = f"""
@@ -203,6 +203,7 @@ i AS (SELECT hub, row_number() OVER (ORDER BY encode(hub)) - 1 AS target
       FROM (SELECT DISTINCT hub FROM r WHERE hub <> ''))
 SELECT page_id, string_agg(target::VARCHAR, ' ' ORDER BY target) AS targets
 FROM r JOIN i USING (hub) GROUP BY page_id"""
+SQL["multi_hot_dense"] = "SELECT doc_id, quality::VARCHAR || toxic::VARCHAR AS hot FROM labels"
 SQL["class_balance"] = """
 SELECT lang, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 9) AS share
 FROM documents GROUP BY lang"""

@@ -31,7 +31,7 @@ CLASSES = ["de", "en", "es", "fr"]
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -143,7 +143,7 @@ def extract_errors(spark, sf):
 
 
 @query
-def vocab_json_roundtrip(spark, sf):
+def vocab_json_(spark, sf):
     path = scratch(spark, "vocab")
     vocab_json.write_vocab_json(_vocab(spark, sf), path)
     return vocab_json.read_vocab_json(spark, path)
@@ -417,6 +417,14 @@ def multi_hot(spark, sf):
     return sets.select("page_id", _joined(F.col("targets").cast("array<string>")).alias("targets"))
 
 
+@query
+def multi_hot_dense(spark, sf):
+    """Zero/one targets of the quality and toxic marks."""
+    sets = vocab.label_sets(_marks(spark, sf), ["doc_id"], F.array_compact(F.array(*_mark_names())))
+    hot = arrays.multi_hot(F.col("targets"), 2)
+    return sets.select("doc_id", _joined(hot.cast("array<string>"), "").alias("hot"))
+
+
 @query
 def class_balance(spark, sf):
     return vocab.class_balance(_documents(spark, sf), TOPIC).withColumn("share", F.round("share", 9))
@@ -600,9 +608,13 @@ def precision_recall_at_k(spark, sf):
     )
 
 
+def _mark_names() -> list[Column]:
+    return [F.when(F.col(n) == 1, F.lit(n)) for n in ("quality", "toxic")]
+
+
 def _label_pairs(df: DataFrame) -> DataFrame:
-    names = F.array(*[F.when(F.col(n) == 1, F.lit(n)) for n in ("quality", "toxic")])
-    return df.select("doc_id", F.explode(F.array_compact(names)).alias("label"))
+    names = F.array_compact(F.array(*_mark_names()))
+    return df.select("doc_id", F.explode(names).alias("label"))
 
 
 @query

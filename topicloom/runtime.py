@@ -40,7 +40,8 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, for tables one run writes and reads."""
-    return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
+    run = spark.sparkContext.applicationId
+    return os.path.join(checkpoint_root(spark), "topicloom", run, f"{name}-{uuid.uuid4().hex}")
 
 
 def cut(df: DataFrame) -> DataFrame:

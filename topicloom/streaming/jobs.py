@@ -6,6 +6,7 @@ progress, so it resumes exactly where it stopped.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from topicloom.operators.classify import TokenBayes, score_documents
 from topicloom.operators.clean import clean_documents
-from topicloom.operators.extract import extract_articles, fetched
+from topicloom.operators.extract import extract_articles, extract_errors, fetched
 from topicloom.operators.joins import unseen
 from topicloom.operators.ranking import first_per_key
 from topicloom.runtime import cut, small_side
@@ -45,22 +46,34 @@ def unseen_in(batch: DataFrame, store: str, key: str, order: list[Column]) -> Da
     return unseen(first_per_key(batch, key, order), known.distinct(), key)
 
 
+def _ensure(spark: SparkSession, path: str, schema: StructType) -> None:
+    """An empty table at ``path`` if there is none yet."""
+    try:
+        spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        spark.createDataFrame([], schema).write.mode("append").parquet(path)
+
+
 def ingest(
     pages: DataFrame,
     store: str,
     checkpoint: str,
     category: Column,
     layout: Layout = DEFAULT_LAYOUT,
+    errors: str | None = None,
 ) -> StreamingQuery:
     """Append the articles of arriving pages that are not stored.
 
     Only new pages are extracted. A repeated batch finds its own rows in the
-    store, so nothing is added twice.
+    store, so nothing is added twice. With ``errors``, pages that did not arrive
+    or lack a field are logged there, one folder per batch, and the job goes on.
     """
-    spark = pages.sparkSession
-    spark.createDataFrame([], ARTICLES).write.mode("append").parquet(store)
+    _ensure(pages.sparkSession, store, ARTICLES)
 
-    def take(batch: DataFrame, _: int) -> None:
+    def take(batch: DataFrame, batch_id: int) -> None:
+        if errors:
+            failed = extract_errors(batch, layout)
+            failed.write.mode("overwrite").parquet(f"{errors}/batch={batch_id}")
         fresh = unseen_in(fetched(batch), store, "url", [F.col("page_id")])
         extract_articles(fresh, category, layout).write.mode("append").parquet(store)
 
