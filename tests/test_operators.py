@@ -56,6 +56,27 @@ def test_encode_keeps_every_document(spark, limit):
     assert abs(got[5]["unk_rate"] - 2 / 3) < 1e-12
 
 
+@pytest.mark.parametrize("limit", [0, 2000, 20000])
+def test_encode_with_part_of_the_vocabulary_broadcast(spark, sf, limit):
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    empty = spark.range(10_000, 10_100).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    given = given.select("doc_id", "text").union(empty)
+    words = vocab.build_vocab(given, "doc_id", tok())
+    want = rows(vocab.encode(given, ["doc_id"], tok(), words), "doc_id", "seq", "n_unk")
+    assert len(want) == given.count()
+    for counted in (True, False):
+        got = vocab.encode(given, ["doc_id"], tok(), words, limit=limit, counted=counted)
+        assert rows(got, "doc_id", "seq", "n_unk") == want
+
+
+def test_frequent_takes_every_hot_key_and_what_fits(spark):
+    counts = spark.createDataFrame([(f"k{i}", 1 << i) for i in range(12)] + [("z", 0)], "k string, n bigint")
+    top = lambda room, share: sorted(int(r[0][1:]) for r in joins._frequent(counts, room, share).collect())
+    assert top(0, 0.4) == [10, 11] and top(0, 2.0) == []
+    assert top(5, 2.0) == [7, 8, 9, 10, 11] and top(100, 2.0) == list(range(12))
+    assert joins._frequent(counts.limit(0), 5, 0.1).count() == 0
+
+
 def test_decode_gives_the_tokens_back(spark):
     words = vocab.build_vocab(docs(spark), "doc_id", tok())
     names = {i: t for t, i in rows(words, "token", "idx")}

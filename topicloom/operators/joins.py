@@ -5,7 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.runtime import BROADCAST_BYTES, cut, small_side
+from topicloom.runtime import BROADCAST_BYTES, cut, measure
+
+
+def _frequent(counts: DataFrame, room: float, hot_share: float) -> DataFrame:
+    """The most frequent keys: as many as ``room`` takes, and every hot one.
+
+    Keys are graded by the power of two of their count, so one small aggregate
+    tells how far down the grades the room reaches.
+    """
+    grade = F.floor(F.log2("n"))
+    counts = counts.where(F.col("n") > 0)
+    grades = (
+        counts.groupBy(grade.alias("grade"))
+        .agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows"))
+        .collect()
+    )
+    total = sum(g["rows"] for g in grades)
+    taken, lowest = 0, None
+    for g in sorted(grades, key=lambda g: -g["grade"]):
+        taken += g["keys"]
+        if taken > room and 2 ** (g["grade"] + 1) <= total * hot_share:
+            break
+        lowest = g["grade"]
+    return counts.where(grade >= F.lit(lowest)).drop("n")
 
 
 def lookup_join(
@@ -14,28 +37,35 @@ def lookup_join(
     on: str,
     limit: int = BROADCAST_BYTES,
     hot_share: float = 0.001,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left join ``facts`` to ``dim``, whose key is unique.
 
-    A dimension measured below ``limit`` bytes is broadcast. A larger one is
-    joined in two parts: keys that hold at least ``hot_share`` of the fact rows
-    (there are at most ``1 / hot_share`` of them) by broadcasting just their
-    dimension rows, all other keys by a shuffle in which no key is hot. Rows
+    A dimension measured below ``limit`` bytes is broadcast. Of a larger one the
+    rows of the most frequent keys are broadcast, as many as ``limit`` takes;
+    with word-like keys these serve nearly all facts. The other facts are
+    shuffled. No key among them is hot: whatever holds ``hot_share`` of the
+    facts is always broadcast, which is at most ``2 / hot_share`` keys. Facts
     without a key match nothing and are not shuffled at all.
+
+    ``counts`` (``on``, ``n``) saves the pass that counts the keys; every hot
+    key has to be in it.
     """
-    dim, fits = small_side(dim, limit)
-    if fits:
-        return facts.join(dim, on, "left")
+    dim_rows, size = measure(dim)
+    if size <= limit:
+        return facts.join(F.broadcast(dim), on, "left")
     keyed = facts.where(F.col(on).isNotNull())
-    counts = cut(keyed.groupBy(on).agg(F.count(F.lit(1)).alias("_n")))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = cut(counts.where(F.col("_n") >= total * hot_share).select(on).join(dim, on, "left"))
+    if counts is None:
+        counts = cut(keyed.groupBy(on).agg(F.count(F.lit(1)).alias("n")))
+    hot = _frequent(counts.select(on, "n"), limit * dim_rows / size, hot_share)
+    hot = cut(hot.join(dim, on, "left"))
     head = keyed.join(F.broadcast(hot), on, "inner")
     tail = keyed.join(F.broadcast(hot.select(on)), on, "left_anti").join(dim, on, "left")
-    keyless = facts.where(F.col(on).isNull()).withColumns(
-        {f.name: F.lit(None).cast(f.dataType) for f in dim.schema.fields if f.name != on}
-    )
-    return head.unionByName(tail).unionByName(keyless)
+    out = head.unionByName(tail)
+    if facts.schema[on].nullable:
+        none = {f.name: F.lit(None).cast(f.dataType) for f in dim.schema.fields if f.name != on}
+        out = out.unionByName(facts.where(F.col(on).isNull()).withColumns(none))
+    return out
 
 
 def unseen(rows: DataFrame, store: DataFrame, key: str = "url") -> DataFrame:

@@ -95,15 +95,24 @@ def encode(
     vocab: DataFrame,
     unk_id: int = UNK_ID,
     limit: int = BROADCAST_BYTES,
+    counted: bool = False,
 ) -> DataFrame:
     """``(ids, seq, n_tokens, n_unk, unk_rate)`` for every document.
 
     Unknown tokens become ``unk_id``. A document without tokens keeps its row
     with an empty sequence and an unknown rate of NULL. Tokens of a document
     are gathered in the map task before the one shuffle by ``ids``.
+
+    ``counted`` tells that the vocabulary was counted over these documents, so
+    a vocabulary too large to broadcast needs no second count.
     """
     rows = _token_rows_outer(docs, ids, tokens)
-    found = lookup_join(rows, vocab.select("token", "idx"), "token", limit)
+    counts = None
+    if counted:
+        # the mark of documents without tokens may be hot: count it as such
+        blank = vocab.agg(F.lit("").alias("token"), F.greatest(F.sum("n"), F.lit(1)).alias("n"))
+        counts = vocab.select("token", "n").unionByName(blank)
+    found = lookup_join(rows, vocab.select("token", "idx"), "token", limit, counts=counts)
     known = F.col("pos").isNotNull()
     gathered = found.groupBy(*ids).agg(
         F.array_sort(F.collect_list(F.when(known, F.struct("pos", "idx")))).alias("_at"),

@@ -367,7 +367,7 @@ def vocab_index(spark, sf):
 def encode_tokens(spark, sf):
     docs = _documents(spark, sf)
     words = vocab.build_vocab(docs, "doc_id", _tokens())
-    return vocab.encode(docs, ["doc_id"], _tokens(), words).select(
+    return vocab.encode(docs, ["doc_id"], _tokens(), words, counted=True).select(
         "doc_id", "n_tokens", "unk_rate", _joined(F.col("seq").cast("array<string>")).alias("seq")
     )
 

@@ -51,7 +51,7 @@ def prepare(
     base = parts if fit_on == "all" else parts.where(F.col("part") == "train")
     tokens = tokenize(F.col(text))
     vocab = build_vocab(base, id_col, tokens)
-    coded = encode(parts, [id_col, target, "part"], tokens, vocab)
+    coded = encode(parts, [id_col, target, "part"], tokens, vocab, counted=fit_on == "all")
     return Prepared(
         vocab,
         coded.select(id_col, pad(F.col("seq").cast("array<int>"), max_len).alias("seq"), target, "part"),

@@ -64,10 +64,13 @@ def _width(field: T.StructField):
     return F.lit(16)
 
 
-def size_bytes(df: DataFrame) -> int:
-    """In-memory size of ``df``, from row count and the real string lengths."""
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and their size in memory, from the real string lengths."""
     row = sum((_width(f) for f in df.schema.fields), F.lit(32))
-    return df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0)).alias("b")).first()["b"]
+    got = df.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row.cast("long")), F.lit(0)).alias("b")
+    ).first()
+    return got["n"], got["b"]
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
@@ -75,7 +78,7 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[DataFrame,
 
     The caller is told which way it went and needs another plan for ``False``.
     """
-    fits = size_bytes(df) <= limit
+    fits = measure(df)[1] <= limit
     return (F.broadcast(df) if fits else df), fits
 
 
