@@ -328,6 +328,10 @@ def test_token_bayes(spark, tmp_path):
     for (i, u), (j, v) in zip(a, b):
         assert i == j and np.allclose(u, v)
     out = {r["doc_id"]: r for r in classify.score_documents(docs(spark), ["doc_id"], model).collect()}
+    joined = classify.score_documents(docs(spark), ["doc_id"], model, limit=0).collect()
+    for r in joined:
+        assert r["predicted_class"] == out[r["doc_id"]]["predicted_class"]
+        assert r["error"] == out[r["doc_id"]]["error"] and np.allclose(r["logits"], out[r["doc_id"]]["logits"])
     assert out[9]["error"] == "text is missing" and out[9]["predicted_class"] == -1 and out[9]["logits"] == []
     assert out[2]["error"] == "text has no tokens" and out[2]["class_probabilities"] == []
     assert out[3]["predicted_class"] == 0 and abs(sum(out[3]["class_probabilities"]) - 1) < 1e-12

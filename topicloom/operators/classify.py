@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from topicloom.functions.arrays import argmax, softmax
 from topicloom.functions.text import normalize, preview, tokenize
 from topicloom.operators.joins import lookup_join
+from topicloom.operators.lookup import sum_weights
 from topicloom.operators.metrics import evaluation
 from topicloom.operators.vocab import _token_rows_outer
-from topicloom.runtime import BROADCAST_BYTES, cut
+from topicloom.runtime import BROADCAST_BYTES, cut, measure
 
 MAX_CLASSES = 1000
 HASH_FEATURES = 1 << 18
@@ -62,27 +63,32 @@ class TokenBayes:
         """Label of a class index."""
         return F.get(F.array(*[F.lit(str(c)) for c in self.classes]), idx)
 
+    def fits(self, limit: int = BROADCAST_BYTES) -> bool:
+        """Whether the weights are small enough to be sent to every task."""
+        return measure(self.weights)[1] <= limit
+
     def logits(
         self, docs: DataFrame, ids: list[str], tokens: Column, limit: int = BROADCAST_BYTES
     ) -> DataFrame:
-        """``(ids, logits, n_tokens)``: log prior plus the summed token weights.
+        """``(ids, logits)``: log prior plus the summed token weights.
 
-        Unknown tokens add nothing. Sums start in the map task, so one row per
-        document is shuffled.
+        Unknown tokens add nothing. Weights that fit are sent to the tasks and
+        every text is scored where it lies; larger ones are joined token by
+        token, with sums started in the map task.
         """
+        if self.fits(limit):
+            return sum_weights(docs, ids, tokens, self.weights, self.priors, "logits")
         rows = _token_rows_outer(docs, ids, tokens)
         found = lookup_join(rows, self.weights, "token", limit)
         sums = found.groupBy(*ids).agg(
             *[
                 F.coalesce(F.sum(F.get("w", F.lit(i))), F.lit(0.0)).alias(f"_s{i}")
                 for i in range(len(self.classes))
-            ],
-            F.count("pos").alias("n_tokens"),
+            ]
         )
         return sums.select(
             *ids,
             F.array(*[F.col(f"_s{i}") + F.lit(p) for i, p in enumerate(self.priors)]).alias("logits"),
-            "n_tokens",
         )
 
 
@@ -155,25 +161,39 @@ def respond(
 
 
 def score_documents(
-    docs: DataFrame, ids: list[str], model: TokenBayes, text: str = "text", keep: tuple = ()
+    docs: DataFrame,
+    ids: list[str],
+    model: TokenBayes,
+    text: str = "text",
+    keep: tuple = (),
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Score every text: preview, class, probabilities, logits or an error.
 
+    With a model the tasks can hold, nothing is shuffled.
+    """
+    rows = docs.select(*ids, *keep, text)
+    tokens = tokenize(F.col(text))
+    if model.fits(limit):
+        scored = model.logits(rows, rows.columns, tokens, limit)
+    else:
+        scored = _scored_by_join(rows, ids, model, tokens, limit)
+    scored = scored.withColumn("_normal", normalize(F.col(text)))
+    return respond(scored, F.col(text), F.col("_normal"), F.col("logits"), [*ids, *keep])
+
+
+def _scored_by_join(rows, ids, model, tokens, limit) -> DataFrame:
+    """``rows`` with their logits, joined back by ``ids``.
+
     Texts are placed by ``ids`` once; scoring them and joining the logits back
     both use that one exchange. Spark only reuses it if both sides drop NULL
     ids, so texts without an id, which get an error, are added separately.
     """
-    rows = docs.select(*ids, *keep, text)
     named = reduce(and_, [F.col(i).isNotNull() for i in ids])
     placed = rows.where(named).repartition(*ids)
-    logits = model.logits(placed, ids, tokenize(F.col(text))).select(*ids, "logits")
+    logits = model.logits(placed, ids, tokens, limit)
     nameless = rows.where(~named).withColumn("logits", F.lit(None).cast("array<double>"))
-    joined = (
-        placed.join(logits, ids, "left")
-        .unionByName(nameless)
-        .withColumn("_normal", normalize(F.col(text)))
-    )
-    return respond(joined, F.col(text), F.col("_normal"), F.col("logits"), [*ids, *keep])
+    return placed.join(logits, ids, "left").unionByName(nameless)
 
 
 # --- pyspark.ml classifiers --------------------------------------------------

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.operators.joins import lookup_join
+from topicloom.operators.lookup import look_up
 from topicloom.operators.ranking import dense_index
-from topicloom.runtime import BROADCAST_BYTES
+from topicloom.runtime import BROADCAST_BYTES, measure
 from topicloom.settings import UNK, UNK_ID
 
 
@@ -100,11 +101,32 @@ def encode(
     """``(ids, seq, n_tokens, n_unk, unk_rate)`` for every document.
 
     Unknown tokens become ``unk_id``. A document without tokens keeps its row
-    with an empty sequence and an unknown rate of NULL. Tokens of a document
-    are gathered in the map task before the one shuffle by ``ids``.
+    with an empty sequence and an unknown rate of NULL.
 
-    ``counted`` tells that the vocabulary was counted over these documents, so
-    a vocabulary too large to broadcast needs no second count.
+    A vocabulary measured below ``limit`` bytes is sent to the tasks, and every
+    document is encoded where it lies. A larger one is joined token by token;
+    ``counted`` tells that it was counted over these documents, which saves
+    counting them again.
+    """
+    if measure(vocab.select("token", "idx"))[1] <= limit:
+        coded = look_up(docs, ids, tokens, vocab, "_idx")
+    else:
+        coded = _encode_by_join(docs, ids, tokens, vocab, limit, counted)
+    n = F.size("_idx").cast("bigint")
+    unknown = F.size(F.filter("_idx", lambda i: i.isNull())).cast("bigint")
+    return coded.select(
+        *ids,
+        F.transform("_idx", lambda i: F.coalesce(i, F.lit(unk_id))).alias("seq"),
+        n.alias("n_tokens"),
+        unknown.alias("n_unk"),
+    ).withColumn("unk_rate", F.try_divide(F.col("n_unk").cast("double"), F.col("n_tokens")))
+
+
+def _encode_by_join(docs, ids, tokens, vocab, limit, counted) -> DataFrame:
+    """``(ids, _idx)`` by joining tokens to the vocabulary.
+
+    Tokens of a document are gathered in the map task before the one shuffle
+    by ``ids``.
     """
     rows = _token_rows_outer(docs, ids, tokens)
     counts = None
@@ -113,19 +135,9 @@ def encode(
         blank = vocab.agg(F.lit("").alias("token"), F.greatest(F.sum("n"), F.lit(1)).alias("n"))
         counts = vocab.select("token", "n").unionByName(blank)
     found = lookup_join(rows, vocab.select("token", "idx"), "token", limit, counts=counts)
-    known = F.col("pos").isNotNull()
-    gathered = found.groupBy(*ids).agg(
-        F.array_sort(F.collect_list(F.when(known, F.struct("pos", "idx")))).alias("_at"),
-        F.count_if(known & F.col("idx").isNull()).alias("n_unk"),
-    )
-    n = F.size("_at").cast("bigint")
-    return gathered.select(
-        *ids,
-        F.transform("_at", lambda x: F.coalesce(x["idx"], F.lit(unk_id))).alias("seq"),
-        n.alias("n_tokens"),
-        "n_unk",
-        F.try_divide(F.col("n_unk").cast("double"), n).alias("unk_rate"),
-    )
+    at = F.when(F.col("pos").isNotNull(), F.struct("pos", "idx"))
+    gathered = found.groupBy(*ids).agg(F.array_sort(F.collect_list(at)).alias("_at"))
+    return gathered.select(*ids, F.transform("_at", lambda x: x["idx"]).alias("_idx"))
 
 
 def label_index(df: DataFrame, col: str) -> DataFrame:
