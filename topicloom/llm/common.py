@@ -21,3 +21,11 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number of its own in every row.
+
+    For a stored table: reading the same files again gives the same numbers.
+    """
+    return df.withColumn(name, F.monotonically_increasing_id())

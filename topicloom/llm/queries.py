@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import lines, mixing, quality
-from topicloom.llm.common import table
+from topicloom.llm import jaccard, lines, mixing, quality
+from topicloom.llm.common import numbered, table
 from topicloom.llm.words import count_words
 from topicloom.runtime import cut
 
@@ -71,6 +71,40 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, "doc_id", "source", "size").drop("source")
 
 
+@query(
+    "op2_ngram_jaccard",
+    """
+    WITH RECURSIVE d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+      FROM documents
+    ), s AS (
+      SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) AS g
+      FROM d WHERE len(w) > 0
+    ), k AS (
+      SELECT min(doc_id) AS rep, list(doc_id) AS ids, list_sort(g) AS g FROM s GROUP BY list_sort(g)
+    ), t AS (SELECT rep, len(g) AS n, unnest(g) AS t FROM k
+    ), p AS (
+      SELECT x.rep AS x, y.rep AS y FROM t x JOIN t y ON x.t = y.t AND x.rep < y.rep
+      WHERE 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+      GROUP BY x.rep, y.rep, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+    ), e AS (SELECT x AS a, y AS b FROM p UNION SELECT y, x FROM p
+    ), r AS (
+      SELECT rep AS node, rep AS seen FROM k
+      UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen
+    ), c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+    SELECT d.doc_id, coalesce(len(s.g), 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+    FROM d LEFT JOIN s ON s.doc_id = d.doc_id
+    LEFT JOIN (SELECT rep, unnest(ids) AS doc_id FROM k) m ON m.doc_id = d.doc_id
+    LEFT JOIN c ON c.node = m.rep
+    """,
+)
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"), "row")
+    groups = jaccard.similar_groups(docs, "row", "doc_id", "text", n=3, num=90, den=100)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 @query(
     "op5_line_dedup",
     """
