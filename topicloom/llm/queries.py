@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import jaccard, lines, mixing, quality
+from topicloom.llm import bpe, jaccard, lines, mixing, quality, substrings
 from topicloom.llm.common import numbered, table
 from topicloom.llm.words import count_words
 from topicloom.runtime import cut
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -105,6 +108,19 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+@query("op4_bpe_encode")
+def op4_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenizer = bpe.Tokenizer.fit(docs, "text", VOCABULARY)
+    coded = tokenizer.encode(docs, "text", "ids").select("doc_id", "ids")
+    return tokenizer.decode(coded, "ids", "decoded").select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query(
     "op5_line_dedup",
     """
@@ -199,3 +215,35 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality.base_failed(F.col("m"), quality.Rules()).alias("base_failed"),
         "kept",
     )
+
+
+@query(
+    "op9_substring_dedup",
+    """
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+      FROM documents
+    ), v AS (
+      SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS win
+      FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+    ), again AS (
+      SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY win) AS n FROM v) WHERE n > 1
+    ), gone AS (
+      SELECT r, list(DISTINCT j) AS js FROM (SELECT r, unnest(range(i, i + 35)) AS j FROM again) GROUP BY r
+    ), x AS (
+      SELECT d.r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d
+    ), kept AS (
+      SELECT x.r, string_agg(word, ' ' ORDER BY j) AS t FROM x LEFT JOIN gone ON gone.r = x.r
+      WHERE gone.r IS NULL OR NOT list_contains(gone.js, x.j) GROUP BY x.r
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+           sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN gone ON gone.r = d.r LEFT JOIN kept ON kept.r = d.r
+    """,
+)
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"), "row")
+    size = F.aggregate("removed", F.lit(0), lambda n, s: n + s["hi"] - s["lo"])
+    return substrings.remove_repeats(docs, "row", "text").select(
+        "doc_id", "n_words", size.cast("long").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+    )
