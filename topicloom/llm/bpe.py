@@ -21,6 +21,7 @@ import heapq
 import json
 import mmap
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -41,7 +42,10 @@ LEXICON_WORDS = 1 << 16
 #: Different words a task counts before it forgets the rarer half.
 COUNTED = 1 << 20
 #: Words a worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
+#: Bytes of a word that is merged with plain lists instead of a queue.
+SHORT = 64
+_NONE = 1 << 62
 
 # Fixed value: how the pre-tokenizer cuts a text into words.
 _SPACE = r"\p{White_Space}"
@@ -50,6 +54,19 @@ WORDS = regex.compile(
     rf"| ?[^{_SPACE}\p{{L}}\p{{N}}]+|{_SPACE}+(?!\P{{White_Space}})|{_SPACE}+"
 )
 
+# The same for texts of ASCII and the letters of Latin-1 alone, which is most.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_OTHER = re.compile(f"[^\x00-\x7f{_LATIN}]")
+_PLAIN_WORDS = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+"
+    rf"| ?[^ \t-\r{_LATIN}0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
+)
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, which together are the text."""
+    return (_PLAIN_WORDS if text.isascii() or not _OTHER.search(text) else WORDS).findall(text)
+
 
 def _byte_letters() -> dict[str, int]:
     """The letters that stand for bytes: printable ones for themselves, the others from 256 on."""
@@ -79,7 +96,7 @@ class Vocabulary:
         self._merge = {}
         for rank, pair in enumerate(data["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self._merge[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self._merge[vocab[left] << 24 | vocab[right]] = rank << 24 | vocab[left + right]
         found = sorted(self.special, key=len, reverse=True)
         self._special = regex.compile("(" + "|".join(map(regex.escape, found)) + ")") if found else None
 
@@ -92,15 +109,37 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: of all neighbours the best ranked pair merges first, the leftmost of equals."""
         ids = [self._byte_id[b] for b in word]
-        merges = self._merge
-        n = len(ids)
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
+        find = self._merge.get
+        ranks = [find(a << 24 | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == _NONE:
+                break
+            i = ranks.index(best)
+            made = best & 0xFFFFFF
+            ids[i : i + 2] = [made]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = find(ids[i - 1] << 24 | made, _NONE)
+            if i < len(ranks):
+                ranks[i] = find(made << 24 | ids[i + 1], _NONE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a queue, for words of any length."""
+        find, n = self._merge.get, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = []
+
+        def offer(i: int, j: int) -> None:
+            found = find(ids[i] << 24 | ids[j])
+            if found is not None:
+                heapq.heappush(queue, (found >> 24, i, found & 0xFFFFFF, ids[i], ids[j]))
+
         for i in range(n - 1):
-            found = merges.get((ids[i], ids[i + 1]))
-            if found:
-                queue.append((found[0], i, found[1], ids[i], ids[i + 1]))
-        heapq.heapify(queue)
+            offer(i, i + 1)
         while queue:
             _, i, made, left, right = heapq.heappop(queue)
             j = after[i]
@@ -110,14 +149,9 @@ class Vocabulary:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                found = merges.get((made, ids[k]))
-                if found:
-                    heapq.heappush(queue, (found[0], i, found[1], made, ids[k]))
-            h = before[i]
-            if h >= 0:
-                found = merges.get((ids[h], made))
-                if found:
-                    heapq.heappush(queue, (found[0], h, found[1], ids[h], made))
+                offer(i, k)
+            if before[i] >= 0:
+                offer(before[i], i)
         return [i for i in ids if i >= 0]
 
 
@@ -242,7 +276,7 @@ class Encoder(dict):
             if i % 2:
                 out.append(np.array([self.vocabulary.special[part]], "<u4").tobytes())
             else:
-                out += [self[w] for w in WORDS.findall(part)]
+                out += [self[w] for w in words_of(part)]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -271,7 +305,7 @@ def word_counts(docs: DataFrame, text: str, keep: int) -> DataFrame:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    counts.update(WORDS.findall(t))
+                    counts.update(words_of(t))
                 if len(counts) > COUNTED:
                     counts = Counter(dict(counts.most_common(COUNTED // 2)))
         top = counts.most_common(keep)
