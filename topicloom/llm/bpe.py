@@ -23,8 +23,10 @@ import mmap
 import os
 import re
 import shutil
+import sys
 import tempfile
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -252,6 +254,13 @@ class Lexicon:
         return bytes(self._outputs[4 * self._starts[n] : 4 * self._starts[n + 1]])
 
 
+def _pack(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class Encoder(dict):
     """Packed ids by word: remembered, from the lexicon, or merged."""
 
@@ -263,7 +272,7 @@ class Encoder(dict):
         raw = word.encode()
         ids = self.lexicon.get(raw) if self.lexicon else None
         if ids is None:
-            ids = np.array(self.vocabulary.merge(raw), "<u4").tobytes()
+            ids = _pack(self.vocabulary.merge(raw))
         if len(self) >= REMEMBERED:
             self.clear()
         if len(word) <= 256:
@@ -274,7 +283,7 @@ class Encoder(dict):
         out = []
         for i, part in enumerate(self.vocabulary.split(text)):
             if i % 2:
-                out.append(np.array([self.vocabulary.special[part]], "<u4").tobytes())
+                out.append(_pack([self.vocabulary.special[part]]))
             else:
                 out += [self[w] for w in words_of(part)]
         return b"".join(out)
