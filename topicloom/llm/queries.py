@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, jaccard, lines, mixing, quality, substrings
+from topicloom.llm import bpe, chat, jaccard, lines, mixing, quality, substrings, topk
 from topicloom.llm.common import numbered, table
 from topicloom.llm.words import count_words
 from topicloom.runtime import cut
@@ -108,6 +108,56 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+@query(
+    "op3_chat_format",
+    """
+    WITH m AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')
+    ), o AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text)) AS i FROM m
+    ), e AS (
+      SELECT *, replace(replace(replace(text, '\\', '\\b'), '###', '\\h'), '</turn>', '\\e') AS body,
+             replace(replace(replace(replace(role, '\\', '\\b'), '###', '\\h'), '</turn>', '\\e'), ':', '\\c') AS head FROM o
+    )
+    SELECT conv_id, count(*)::BIGINT AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(length('### ' || head || ': ' || body || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+    FROM e GROUP BY conv_id
+    """,
+)
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(
+        spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    )
+    place = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    rows = cut(
+        rows.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
+        .withColumn("msg", F.row_number().over(place))
+        .withColumns({"parent": F.when(F.col("msg") > 1, F.col("msg") - 1), "score": F.lit(0.0)})
+    )
+    paths = chat.format_paths(rows, "conv_id", "msg", "parent", "score", "role", "text")
+    read = paths.withColumns(
+        {
+            "turns": chat.read_turns(F.col("formatted")),
+            "learned": F.array_join(chat.read_loss(F.col("formatted"), F.col("loss")), ""),
+        }
+    )
+    lines_ = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines_, ""), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query("op4_bpe_encode")
 def op4_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -217,6 +267,26 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op8_exact_topk",
+    """
+    WITH v AS (
+      SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+      SELECT q.r, q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+      FROM v q JOIN v ON v.r <> q.r WHERE q.vec_id % 20 = 0
+    )
+    SELECT query_id, rank::INT AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+    """,
+)
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(rows, "vec_id", "embedding", F.col("id") % 20 == 0, 20)
+
+
 @query(
     "op9_substring_dedup",
     """
