@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, chat, jaccard, lines, mixing, quality, substrings, topk
+from topicloom.llm import bpe, chat, jaccard, lines, mixing, pages, quality, substrings, topk, toxicity
 from topicloom.llm.common import numbered, table
 from topicloom.llm.words import count_words
 from topicloom.runtime import cut
@@ -215,6 +215,20 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    seen = labels.where(~toxicity.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.train(docs.join(seen, "doc_id"), "text", "toxic")
+    return toxicity.score(docs, "text", model, "score").select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query(
     "op7_quality_rules",
     """
@@ -317,3 +331,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs, "row", "text").select(
         "doc_id", "n_words", size.cast("long").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op10_main_text")
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages.extract_main_text(rows, "html", "text").select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    )
