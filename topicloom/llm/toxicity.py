@@ -26,6 +26,7 @@ gives an empty table; other columns are untouched.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,12 +38,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.llm.common import ref
+from topicloom.llm.words import mix
 
 TRAIN_TEXTS = 4000
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 192, 64
-SPAN = 6
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 32
+#: A landmark is in this share of the toxic training texts at least (and in three).
+LANDMARK_SHARE = 0.004
+SPAN = 5
 DECAY = 0.6
-LEAST = 0.35
+LEAST = 0.5
+#: The kernel is taken to this power, which sets a word's likes apart from what only resembles it.
+POWER = 3
 #: Different words a worker remembers.
 REMEMBERED = 1 << 19
 _LETTERS = re.compile(r"[\W\d_]+")
@@ -122,13 +128,19 @@ class Landmarks:
         near = np.flatnonzero(bound / norm >= LEAST)
         row = np.full(len(words), -1)
         row[near] = np.arange(len(near))
+        owner = np.concatenate([row[o] for o, _, _ in parts])
+        at = np.concatenate([a for _, a, _ in parts])
+        weight = np.concatenate([np.full(len(o), w, np.float32) for o, _, w in parts])
         some = np.zeros((len(near), len(self.words)), np.float32)
-        for owner, at, weight in parts:
-            keep = row[owner] >= 0
-            np.add.at(some, row[owner[keep]], np.float32(weight) * self.table[at[keep]])
+        order = np.argsort(owner, kind="stable")[np.count_nonzero(owner < 0) :]
+        for first in range(0, len(order), 1 << 14):
+            part = order[first : first + (1 << 14)]
+            mine = owner[part]
+            start = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+            some[mine[start]] += np.add.reduceat(self.table[at[part]] * weight[part, None], start)
         some /= norm[near][:, None]
         some[some < LEAST] = 0
-        out[near] = np.minimum(some, 1)
+        out[near] = np.minimum(some, 1) ** POWER
         return out
 
 
@@ -187,7 +199,7 @@ def choose_landmarks(texts: list[set[str]], labels: np.ndarray) -> list[str]:
     def weight(w: str) -> float:
         """How much more often toxic texts have it, times how sure that is."""
         odds = np.log((toxic[w] + 0.5) / (n[1] + 1)) - np.log((clean[w] + 0.5) / (n[0] + 1))
-        return toxic[w] * odds if toxic[w] >= 3 and odds > 2 else 0.0
+        return toxic[w] * odds if toxic[w] >= max(3, LANDMARK_SHARE * n[1]) and odds > 2.5 else 0.0
 
     ranked = sorted(((weight(w), w) for w in toxic), key=lambda x: (-x[0], x[1]))
     chosen = [w for s, w in ranked[:TOXIC_LANDMARKS] if s > 0]
@@ -234,7 +246,26 @@ def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def _unlike(texts: list[set[str]]) -> list[int]:
+    """Texts without near copies, whose words would all seem to go with one label.
+
+    Of eight least hashes of their words, copies share three or more.
+    """
+    seen: set[tuple[int, ...]] = set()
+    chosen = []
+    for i, text in enumerate(texts):
+        hashes = np.array([zlib.crc32(w.encode()) for w in text] or [0], np.uint64)
+        least = [int(mix(hashes + np.uint64(k << 32)).min()) for k in range(8)]
+        keys = [(a, least[a], least[b], b) for a in range(8) for b in range(a)]
+        if sum(k in seen for k in keys) < 3:
+            chosen.append(i)
+            seen.update(keys)
+    return chosen
+
+
 def fit(texts: list[set[str]], labels: np.ndarray) -> Model:
+    chosen = _unlike(texts)
+    texts, labels = [texts[i] for i in chosen], labels[chosen]
     words = choose_landmarks(texts, labels) if len(set(labels.tolist())) == 2 else []
     if not words:
         return Model((), (), -500.0)
