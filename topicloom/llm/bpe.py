@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.llm.common import fresh, ref
+from topicloom.llm.words import sliced
 
 LEXICON_WORDS = 1 << 16
 #: Different words a task counts before it forgets the rarer half.
@@ -293,13 +294,6 @@ class Encoder(dict):
         return b"".join([known[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-def _sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces, so that few texts are held as Python objects at a time."""
-    for batch in batches:
-        for first in range(0, batch.num_rows, rows):
-            yield batch.slice(first, rows)
-
-
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -318,7 +312,7 @@ def word_counts(docs: DataFrame, text: str, keep: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             for t in batch.column(0).to_pylist():
                 if t:
                     counts.update(words_of(t))
@@ -364,7 +358,7 @@ class Tokenizer:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = _encoder(vocabulary, lexicon)
-            for batch in _sliced(batches):
+            for batch in sliced(batches):
                 made = [make(encoder, x) for x in batch.column(column).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(made, arrow)], names=[*batch.schema.names, name]

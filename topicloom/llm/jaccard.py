@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.common import ref
 from topicloom.llm.components import components
-from topicloom.llm.words import rows_of_words, run_hashes
+from topicloom.llm.words import rows_of_words, run_hashes, sliced
 from topicloom.runtime import cut, small_side
 
 #: Most shared n-grams that a document may ask for.
@@ -86,7 +86,7 @@ def profiles(rows: DataFrame, n: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column("row").to_pylist()
             out, held = [], []
             for row, tokens in zip(ids, _sets(batch, n), strict=True):
@@ -131,7 +131,7 @@ def prefixes(rows: DataFrame, n: int, num: int, den: int, tail) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(tail)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column("row").to_numpy()
             token, row, size, level = [], [], [], []
             for i, tokens in zip(ids, _sets(batch, n), strict=True):
@@ -162,7 +162,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     side, _ = small_side(cut(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [s.view(np.int64) for s in _sets(batch, n)]
             yield pa.RecordBatch.from_arrays(
                 [

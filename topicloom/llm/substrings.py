@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.llm.common import fresh, ref
-from topicloom.llm.words import Powers, mix, rows_of_words, run_hashes, text_buffer, word_spans
+from topicloom.llm.words import Powers, mix, rows_of_words, run_hashes, sliced, text_buffer, word_spans
 from topicloom.runtime import cut, small_side
 
 LENGTH = 35
@@ -71,7 +71,7 @@ def pieces(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """``anchor, name, row, start, words`` for every piece. Written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             parts, owner = [], []
             for row, words in zip(batch.column("row").to_numpy(), rows_of_words(batch.column("text")), strict=True):
                 got = piece_bounds(words, length, gram)
@@ -187,7 +187,7 @@ def _contents(rows: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     """Word hashes of the asked pieces, and for split anchors the hashes of their windows. Written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             lists = batch.column("asked").to_pylist()
             for words, wanted in zip(rows_of_words(batch.column("text")), lists, strict=True):
@@ -311,7 +311,7 @@ def remove_repeats(docs: DataFrame, row: str, text: str, length: int = LENGTH, g
     made = [names["n_words"], names["removed"], names["kept"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = text_buffer(batch.column(text))
             starts, ends = word_spans(data, offsets)
             at = np.searchsorted(starts, offsets)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.llm.common import ref
-from topicloom.llm.words import mix
+from topicloom.llm.words import mix, sliced
 
 TRAIN_TEXTS = 4000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 32
@@ -296,7 +296,7 @@ def train(labelled: DataFrame, text: str, label: str, train_texts: int = TRAIN_T
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         found = [sorted(units(t)) for t in batch.column("t").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["units"])
 
@@ -306,14 +306,10 @@ def score(docs: DataFrame, text: str, model: Model, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearness = Nearness(Landmarks(list(model.words)))
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            made = [np.zeros(0)]
-            for first in range(0, len(texts), 1024):
-                sets = [units(t) for t in texts[first : first + 1024]]
-                made.append(model.scores(nearness.of(sets)))
+        for batch in sliced(batches):
+            made = model.scores(nearness.of([units(t) for t in batch.column(text).to_pylist()]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.concatenate(made), pa.float64())], names=[*batch.schema.names, name]
+                [*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, name]
             )
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -6,7 +6,7 @@ vertical tab, form feed and carriage return: ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,3 +128,10 @@ def rows_of_words(texts: pa.Array, lower: bool = False) -> Iterator[np.ndarray]:
     at = np.searchsorted(starts, offsets)
     for i in range(len(offsets) - 1):
         yield hashes[at[i] : at[i + 1]]
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that what is made of few texts is held at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
