@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), "topicloom", run, f"{name}-{uuid.uuid4().hex}")
 
 
+_watchers: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it from there.
 
@@ -52,7 +57,35 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for watcher in _watchers:
+        watcher.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+@contextmanager
+def watched_cuts() -> Iterator[list[str]]:
+    """The paths of the tables that ``cut`` writes meanwhile."""
+    paths: list[str] = []
+    _watchers.append(paths)
+    try:
+        yield paths
+    finally:
+        _watchers.remove(paths)
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder, wherever that is."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def discard(cut_table: DataFrame) -> None:
+    """Delete a table that ``cut`` returned, once all that reads it is written itself."""
+    delete_paths(cut_table.sparkSession, [cut_table._cut_path])
 
 
 def _width(field: T.StructField):
