@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from topicloom.llm.common import ref
 from topicloom.llm.components import components
 from topicloom.llm.words import rows_of_words, run_hashes, sliced
-from topicloom.runtime import cut, small_side
+from topicloom.runtime import cut, discard, small_side
 
 #: Most shared n-grams that a document may ask for.
 MATCHES = 4
@@ -47,9 +47,10 @@ MATCHES = 4
 VERIFY_COST = 8.0
 #: Documents with one n-gram in their prefixes that are still joined as pairs.
 PAIR_LIMIT = 64
-#: N-grams at the end of the order, and how many a batch reports at most.
+#: N-grams at the end of the order; how many a task counts at a time, and reports of these at most.
 TAIL = 1 << 17
-REPORTED = 1 << 14
+COUNTED = 1 << 22
+REPORTED = 1 << 15
 #: Weight of a block: n-grams, and this many more for each document.
 BLOCK_WEIGHT, DOC_WEIGHT = 200_000, 64
 _STEP = 1.05
@@ -79,29 +80,37 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
 
 
 def profiles(rows: DataFrame, n: int) -> DataFrame:
-    """Of every ``row, text``: the size and name of its set; and n-grams that recur in a batch. Written.
+    """Of every ``row, text``: the size and name of its set; and n-grams that recur in a task. Written.
 
     ``kind`` 0 is a document (``row, n, a, b``), 1 an n-gram (``a``) with the
-    number of the batch's documents that have it (``n``).
+    number of a task's documents that have it (``n``).
     """
 
+    names = ["kind", "row", "n", "a", "b"]
+
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, count = np.unique(np.concatenate(held), return_counts=True)
+        tokens, count = tokens[count > 1], count[count > 1]
+        top = np.argsort(-count, kind="stable")[:REPORTED]
+        none = np.zeros(len(top), np.int64)
+        cols = [none + 1, none - 1, count[top], tokens[top].view(np.int64), none]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
         for batch in sliced(batches):
-            ids = batch.column("row").to_pylist()
-            out, held = [], []
-            for row, tokens in zip(ids, _sets(batch, n), strict=True):
+            out = []
+            for row, tokens in zip(batch.column("row").to_pylist(), _sets(batch, n), strict=True):
                 held.append(tokens)
+                total += len(tokens)
                 out.append((0, row, len(tokens), *(_name(tokens) if len(tokens) else (row, 0))))
-            if held:
-                tokens, count = np.unique(np.concatenate(held), return_counts=True)
-                often = count >= max(4, len(held) // 2000)
-                tokens, count = tokens[often], count[often]
-                top = np.argsort(-count, kind="stable")[:REPORTED]
-                out += [(1, -1, c, t, 0) for t, c in zip(tokens[top].view(np.int64).tolist(), count[top].tolist())]
-            cols = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in cols], names=["kind", "row", "n", "a", "b"]
-            )
+            cols = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+            if total > COUNTED:
+                yield often(held)
+                held, total = [], 0
+        if held:
+            yield often(held)
 
     return cut(rows.select("row", "text").mapInArrow(run, "kind long, row long, n long, a long, b long"))
 
@@ -327,6 +336,7 @@ def links(rows: DataFrame, reps: DataFrame, profile: DataFrame, n: int, num: int
     df = index.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     df, _ = small_side(cut(df))
     met = cut(index.join(df, "token"))
+    discard(index)
     pairs = cut(_candidate_pairs(met.where(F.col("df") <= PAIR_LIMIT), num, den))
     dense = met.where(F.col("df") > PAIR_LIMIT)
     cells = cut(_cells(dense, num, den))

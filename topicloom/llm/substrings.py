@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from topicloom.llm.common import fresh, ref
 from topicloom.llm.words import Powers, mix, rows_of_words, run_hashes, sliced, text_buffer, word_spans
-from topicloom.runtime import cut, small_side
+from topicloom.runtime import cut, discard, small_side
 
 LENGTH = 35
 GRAM = 11
@@ -276,6 +276,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     )
     stats = cut(stats.where("n > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("equal")))
     again = cut(found.join(stats, "anchor"))
+    discard(found)
     mixed = again.where(~F.col("equal"))
     asked = mixed.groupBy("anchor", "name").agg(
         F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "start", "words")).alias("one")
