@@ -27,8 +27,6 @@ HEAD, MIDDLE, END = "### ", ": ", "</turn>\n"
 ESCAPES = (("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\e"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
 
-_DEEPEST = 40
-
 
 def _escape(c: Column, codes=ESCAPES) -> Column:
     for plain, code in codes:
@@ -64,12 +62,14 @@ def best_paths(
     nodes = _nodes(messages, conv, msg, parent, score)
     jumps = [nodes.select("c", "m", "up")]
     reach = nodes.select("c", "m", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"), "score")
-    for _ in range(_DEEPEST):
-        if reach.where(F.col("up").isNotNull()).isEmpty():
+    left = None
+    while True:
+        # Every round finds the root of some message, but for those that only go round.
+        before, left = left, reach.where(F.col("up").isNotNull()).count()
+        if not left or left == before:
             break
         over = reach.select("c", F.col("m").alias("up"), F.col("up").alias("up2"),
                             F.col("depth").alias("more"), F.col("score").alias("add"))
-        before = reach
         reach = cut(
             reach.join(over, ["c", "up"], "left").select(
                 "c", "m", F.col("up2").alias("up"),
@@ -78,10 +78,6 @@ def best_paths(
             )
         )
         jumps.append(reach.select("c", "m", "up"))
-        moved = reach.join(before.select("c", "m", F.col("up").alias("was")), ["c", "m"])
-        # What only goes round keeps its pointers among messages that never end.
-        if len(jumps) > 1 and moved.where(F.col("was").isNotNull()).isEmpty():
-            break
     whole = reach.where(F.col("up").isNull())
     answered = nodes.select("c", F.col("up").alias("m")).where("m IS NOT NULL").distinct()
     leaves = whole.join(answered, ["c", "m"], "left_anti")

@@ -3,7 +3,7 @@
 Every document is measured where it lies. Rule failures are summed by host
 (map-side first, so a host with a third of all rows costs one row per task),
 the hosts' failure rates are shrunk towards a beta prior fitted to all hosts,
-and documents of hosts whose shrunk rate is too high are rejected together
+and documents of hosts whose shrunk rate is surely too high are rejected together
 with the documents that fail the base rules themselves.
 
 Defined results: a NULL or empty text has no words and fails the base rules;
@@ -141,14 +141,19 @@ def beta_prior(hosts: DataFrame, n: str, failed: str) -> tuple[float, float]:
 
 
 def host_verdicts(measured: DataFrame, host: str, measures: str, rules: Rules) -> DataFrame:
-    """Hosts to reject, as ``_host``: hosts whose shrunk failure rate is above the limit."""
+    """Hosts to reject, as ``_host``: hosts whose shrunk failure rate is surely above the limit.
+
+    Surely: by two standard deviations, so a few bad documents do not condemn a small host.
+    """
     hosts = measured.groupBy(_host(host)).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(rule_failed(ref(measures), rules)).alias("failed"),
     )
     a, b = beta_prior(hosts, "n", "failed")
-    rate = (F.col("failed") + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    return hosts.where(rate > rules.max_host_rate).select("_host")
+    size = F.col("n") + F.lit(a + b)
+    rate = (F.col("failed") + F.lit(a)) / size
+    sure = rate - 2 * F.sqrt(rate * (1 - rate) / (size + 1))
+    return hosts.where(sure > rules.max_host_rate).select("_host")
 
 
 def _host(host: str) -> Column:

@@ -262,7 +262,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
              THEN least(greatest(mean * (1 - mean) / (v - mean * (1 - mean) * e) - 1, 1.0), 1e6) ELSE 1e6 END AS size
       FROM p
     ), bad AS (
-      SELECT source FROM h, q WHERE (k + mean * size) / (n + size) > 0.5
+      SELECT source FROM (SELECT source, (k + mean * size) / (n + size) AS rate, n + size AS all_ FROM h, q)
+      WHERE rate - 2 * sqrt(rate * (1 - rate) / (all_ + 1)) > 0.5
     )
     SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source) AS kept

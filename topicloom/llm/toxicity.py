@@ -45,10 +45,10 @@ TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 32
 #: A landmark is in this share of the toxic training texts at least (and in three).
 LANDMARK_SHARE = 0.004
 SPAN = 5
-DECAY = 0.6
+DECAY = 0.75
 LEAST = 0.5
 #: The kernel is taken to this power, which sets a word's likes apart from what only resembles it.
-POWER = 3
+POWER = 2
 #: Different words a worker remembers.
 REMEMBERED = 1 << 18
 _LETTERS = re.compile(r"[\W\d_]+")
