@@ -65,7 +65,8 @@ def lookup_join(
     if facts.schema[on].nullable:
         none = {f.name: F.lit(None).cast(f.dataType) for f in dim.schema.fields if f.name != on}
         out = out.unionByName(facts.where(F.col(on).isNull()).withColumns(none))
-    return out
+    # Written, so that no later grouping builds on how the union's sides happen to be partitioned.
+    return cut(out)
 
 
 def unseen(rows: DataFrame, store: DataFrame, key: str = "url") -> DataFrame:

@@ -49,7 +49,7 @@ def _indexed(rows: DataFrame, place: Column) -> DataFrame:
     seen = rows.groupBy("token").agg(
         F.min(place).alias("_place"), F.max("pos").alias("_far"), F.count(F.lit(1)).alias("n")
     )
-    return dense_index(seen, ["_place"], "idx", UNK_ID + 1)
+    return dense_index(seen, ["_place", "token"], "idx", UNK_ID + 1)
 
 
 def build_vocab(docs: DataFrame, id_col: str, tokens: Column, unk: str = UNK) -> DataFrame:
