@@ -81,7 +81,7 @@ def _norm(n: np.ndarray) -> np.ndarray:
 
 def _subsequences(words: list[str], letter: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """Word number and code of every subsequence of known letters, with its weight, by distance."""
-    n = np.array([len(w) + 1 for w in words])
+    n = np.array([len(w) + 1 for w in words], np.int64)
     owner = np.repeat(np.arange(len(words)), n)
     codes = np.array([letter.get(c, -1) for w in words for c in _MARK + w], np.int64)
     for a, b in _PAIRS:
@@ -108,7 +108,7 @@ class Landmarks:
         self.table = np.zeros((len(self.codes) + 1, len(words)), np.float32)
         if len(codes):
             np.add.at(self.table, (at, np.concatenate(rows)), np.concatenate(weights))
-        self.table /= np.maximum(_norm(np.array([len(w) + 1 for w in words])), 1e-12)
+        self.table /= np.maximum(_norm(np.array([len(w) + 1 for w in words], np.int64)), 1e-12)
         self.most = self.table.max(axis=1, initial=0)
 
     def compare(self, words: list[str]) -> np.ndarray:
@@ -116,7 +116,7 @@ class Landmarks:
         out = np.zeros((len(words), len(self.words)), np.float32)
         if not words or not len(self.codes):
             return out
-        norm = np.maximum(_norm(np.array([len(w) + 1 for w in words])), 1e-12)
+        norm = np.maximum(_norm(np.array([len(w) + 1 for w in words], np.int64)), 1e-12)
         parts = []
         bound = np.zeros(len(words))
         for owner, code, weight in _subsequences(words, self.letter):
