@@ -70,5 +70,5 @@ def test_tables(spark, plain):
         assert ids(r.ids) == plain.encode(r.t or "", add_special_tokens=False).ids
     none = docs.where("doc_id < 0")
     assert bpe.Tokenizer.fit(none, "t", PATH).encode(none, "t", "ids").count() == 0
-    lists = bpe.unpack(tok.encode(docs.where("doc_id = 1"), "t", "p"), "p", "ids").first()
-    assert lists["ids"] == plain.encode(rows[0][1], add_special_tokens=False).ids
+    for r in tok.encode_lists(docs, "t", "ids").collect():
+        assert r.ids == plain.encode(r.t or "", add_special_tokens=False).ids

@@ -294,6 +294,12 @@ class Encoder(dict):
         return b"".join([known[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
+def _lists(packed: list[bytes]) -> pa.Array:
+    """Packed ids as an array of lists."""
+    ends = np.cumsum([0, *[len(p) // 4 for p in packed]])
+    return pa.ListArray.from_arrays(ends.astype(np.int32), np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
+
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -351,7 +357,7 @@ class Tokenizer:
         top = counts.orderBy(F.desc("n"), "word").limit(lexicon_words).collect()
         return cls(docs.sparkSession, vocabulary_path, (r["word"] for r in top))
 
-    def _map(self, df: DataFrame, column: str, name: str, kind: str, arrow, make) -> DataFrame:
+    def _map(self, df: DataFrame, column: str, name: str, kind: str, make) -> DataFrame:
         if fresh(df, name) != name:
             raise ValueError(f"there is a column {name} already")
         vocabulary, lexicon = self.vocabulary, self.lexicon
@@ -359,39 +365,20 @@ class Tokenizer:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = _encoder(vocabulary, lexicon)
             for batch in sliced(batches):
-                made = [make(encoder, x) for x in batch.column(column).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(made, arrow)], names=[*batch.schema.names, name]
-                )
+                made = make(encoder, batch.column(column).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
 
         schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
         return df.mapInArrow(run, schema)
 
     def encode(self, docs: DataFrame, text: str, ids: str) -> DataFrame:
         """``docs`` with ``ids``, packed as little-endian unsigned 32-bit numbers."""
-        return self._map(docs, text, ids, "binary", pa.binary(), lambda e, t: e.encode(t or ""))
+        return self._map(docs, text, ids, "binary", lambda e, texts: pa.array([e.encode(t or "") for t in texts], pa.binary()))
+
+    def encode_lists(self, docs: DataFrame, text: str, ids: str) -> DataFrame:
+        """``docs`` with ``ids`` as arrays of numbers, made by the worker that encodes."""
+        return self._map(docs, text, ids, "array<int>", lambda e, texts: _lists([e.encode(t or "") for t in texts]))
 
     def decode(self, coded: DataFrame, ids: str, text: str) -> DataFrame:
         """``coded`` with the ``text`` of its packed ids."""
-        return self._map(coded, ids, text, "string", pa.string(), lambda e, b: e.decode(b or b""))
-
-
-def unpack(coded: DataFrame, packed: str, ids: str) -> DataFrame:
-    """``coded`` with the ids as an array of numbers instead of packed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.column(packed)
-            lists = [np.frombuffer(b or b"", "<u4").astype(np.int32) for b in held.to_pylist()]
-            at = batch.schema.names.index(packed)
-            columns = [*batch.columns]
-            columns[at] = pa.array(lists, pa.list_(pa.int32()))
-            names = [*batch.schema.names]
-            names[at] = ids
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    fields = [
-        T.StructField(ids, T.ArrayType(T.IntegerType())) if f.name == packed else f
-        for f in coded.schema.fields
-    ]
-    return coded.mapInArrow(run, T.StructType(fields))
+        return self._map(coded, ids, text, "string", lambda e, packed: pa.array([e.decode(b or b"") for b in packed], pa.string()))
