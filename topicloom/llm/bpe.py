@@ -263,19 +263,26 @@ def _pack(ids: list[int]) -> bytes:
 
 
 class Encoder(dict):
-    """Packed ids by word: remembered, from the lexicon, or merged."""
+    """Packed ids by word: remembered, from the lexicon, or merged.
+
+    The lexicon's words stay remembered, so the many rare words push none of them out.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         super().__init__()
         self.vocabulary, self.lexicon = vocabulary, lexicon
+        self._frequent: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         raw = word.encode()
         ids = self.lexicon.get(raw) if self.lexicon else None
         if ids is None:
             ids = _pack(self.vocabulary.merge(raw))
+        elif len(self._frequent) < LEXICON_WORDS:
+            self._frequent[word] = ids
         if len(self) >= REMEMBERED:
             self.clear()
+            self.update(self._frequent)
         if len(word) <= 256:
             self[word] = ids
         return ids
