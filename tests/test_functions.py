@@ -167,3 +167,10 @@ def test_large_page(spark):
     page = f'<div id="post-content-body">{inner}</div>' + "<script>" * 2000 + "y" * 1000000
     df = spark.createDataFrame([(page,)], "t string").select(html.visible(F.col("t")).alias("t"))
     assert df.select(html.element_text(F.col("t"), DEFAULT_LAYOUT.body)).first()[0] == "x&" * 30000
+
+
+def test_references_and_quoted_signs(spark):
+    page = '<h1 data-x="a > b">Rock &apos;n&apos; roll &#00000039; &#x0000027;</h1><p t=\'>\'>x</p>'
+    df = spark.createDataFrame([(page,)], "p string")
+    got = df.select(html.element_text(F.col("p"), Selector("h1")), html.strip_tags(F.col("p"))).first()
+    assert tuple(got) == ("Rock 'n' roll ' '", "Rock 'n' roll ' 'x")

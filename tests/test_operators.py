@@ -362,3 +362,24 @@ def test_summary_and_embedding(spark):
     assert got == {1: "rare words here.", 2: "common.", 3: ""}
     vecs = dict(rows(summary.doc_embedding(df, "doc_id", tok(), 8), "doc_id", "embedding"))
     assert abs(sum(x * x for x in vecs[1]) - 1) < 1e-9 and vecs[3] == [0.0] * 8
+
+
+def test_both_sides_of_the_size_switch_treat_ids_alike(spark):
+    given = [(1, "a b"), (1, "c c"), (None, "a"), (None, ""), (2, None)]
+    df = spark.createDataFrame(given, "doc_id bigint, text string")
+    words = vocab.build_vocab(docs(spark), "doc_id", tok())
+    model = classify.fit_token_bayes(docs(spark), "lang", tok())
+    coded = [vocab.encode(df, ["doc_id"], tok(), words, limit=n) for n in (1 << 30, 0)]
+    scored = [classify.score_documents(df, ["doc_id"], model, limit=n) for n in (1 << 30, 0)]
+    for small, large in (coded, scored):
+        assert small.count() == len(given)
+        assert sorted(map(repr, small.collect())) == sorted(map(repr, large.collect()))
+
+
+def test_any_number_of_classes(spark):
+    df = spark.range(1100).select(F.col("id").alias("label"), F.concat(F.lit("w"), "id").alias("text"))
+    model = classify.fit_token_bayes(df, "label", tok())
+    weights = {r["token"]: r["w"] for r in model.weights.collect()}
+    assert len(model.classes) == len(weights) == 1100
+    for i in (0, 7, 1099):
+        assert weights[f"w{i}"].index(max(weights[f"w{i}"])) == i

@@ -19,6 +19,10 @@ _HIDDEN = (
 )
 
 
+# The rest of a tag: a quoted value may hold the sign that else ends it.
+_TAG_END = r"(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+>"
+
+
 def _attr_test(sel: Selector) -> str:
     if sel.attr is None:
         return ""
@@ -29,7 +33,7 @@ def _attr_test(sel: Selector) -> str:
 
 def open_tag(sel: Selector) -> str:
     """Pattern of the opening tag of the elements ``sel`` names."""
-    return rf"<(?i:{sel.tag})(?=[\s>/]){_attr_test(sel)}[^>]*>"
+    return rf"<(?i:{sel.tag})(?=[\s>/]){_attr_test(sel)}{_TAG_END}"
 
 
 def visible(page: Column) -> Column:
@@ -39,19 +43,19 @@ def visible(page: Column) -> Column:
 
 def _entity_map() -> Column:
     """Named characters as a map literal: one constant the optimizer folds."""
-    pairs = html.entities.name2codepoint.items()
+    pairs = [*html.entities.name2codepoint.items(), ("apos", ord("'"))]
     text = "\n".join(f"{name} {chr(code)}" for name, code in pairs)
     return F.str_to_map(F.lit(text), F.lit("\n"), F.lit(" "))
 
 
-_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+_REFERENCE = r"^(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def _numeric(ref: Column) -> Column:
     """Character of a numeric reference, NULL for a code that is none."""
     code = F.when(
-        F.lower(F.substring(ref, 1, 2)) == "#x", F.conv(F.substring(ref, 3, 8), 16, 10)
-    ).otherwise(F.substring(ref, 2, 8))
+        F.lower(F.substring(ref, 1, 2)) == "#x", F.conv(F.substring(ref, F.lit(3), F.length(ref)), 16, 10)
+    ).otherwise(F.substring(ref, F.lit(2), F.length(ref)))
 
     def char(n):
         valid = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
@@ -90,7 +94,7 @@ def decode_entities(c: Column) -> Column:
 
 def strip_tags(c: Column) -> Column:
     """Text of a fragment: tags dropped without a gap, entities decoded."""
-    return decode_entities(F.regexp_replace(c, "<[^>]*>", ""))
+    return decode_entities(F.regexp_replace(c, f"<{_TAG_END}", ""))
 
 
 def _until_close(tail: Column, tag: str) -> Column:

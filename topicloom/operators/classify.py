@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
@@ -13,16 +11,16 @@ from pyspark.ml.feature import IDF, HashingTF, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicloom.functions.arrays import argmax, softmax
 from topicloom.functions.text import normalize, preview, tokenize
 from topicloom.operators.joins import lookup_join
 from topicloom.operators.lookup import sum_weights
 from topicloom.operators.metrics import evaluation
-from topicloom.operators.vocab import _token_rows_outer
+from topicloom.operators.vocab import _token_rows_outer, keyed_tokens
 from topicloom.runtime import BROADCAST_BYTES, cut, measure
 
-MAX_CLASSES = 1000
 HASH_FEATURES = 1 << 18
 
 
@@ -74,19 +72,21 @@ class TokenBayes:
 
         Unknown tokens add nothing. Weights that fit are sent to the tasks and
         every text is scored where it lies; larger ones are joined token by
-        token, with sums started in the map task.
+        token, with sums started in the map task. Either way a repeated or
+        missing id is a row like any other.
         """
         if self.fits(limit):
             return sum_weights(docs, ids, tokens, self.weights, self.priors, "logits")
-        rows = _token_rows_outer(docs, ids, tokens)
+        keyed = keyed_tokens(docs, ids, tokens)
+        rows = _token_rows_outer(keyed, ["_row"], F.col("_tokens"))
         found = lookup_join(rows, self.weights, "token", limit)
-        sums = found.groupBy(*ids).agg(
+        sums = found.groupBy("_row").agg(
             *[
                 F.coalesce(F.sum(F.get("w", F.lit(i))), F.lit(0.0)).alias(f"_s{i}")
                 for i in range(len(self.classes))
             ]
         )
-        return sums.select(
+        return keyed.select("_row", *ids).join(sums, "_row").select(
             *ids,
             F.array(*[F.col(f"_s{i}") + F.lit(p) for i, p in enumerate(self.priors)]).alias("logits"),
         )
@@ -97,25 +97,26 @@ def fit_token_bayes(
 ) -> TokenBayes:
     """Count tokens per class once; the model is that table of logarithms."""
     rows = docs.where(F.col(label).isNotNull())
-    stats = (
-        rows.groupBy(label)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(label)
-        .limit(MAX_CLASSES + 1)
-        .collect()
-    )
-    if len(stats) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
+    stats = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()
     classes = [r[label] for r in stats]
+    schema = T.StructType([rows.schema[label], T.StructField("_class", T.IntegerType())])
+    places = docs.sparkSession.createDataFrame([(c, i) for i, c in enumerate(classes)], schema)
+    every, zero = F.array(*[F.lit(i) for i in range(len(classes))]), F.lit(0).cast("bigint")
     # The token expression goes straight into explode. As a column of its own
     # it would also be evaluated in a filter Spark infers for its size.
     counts = cut(
         rows.select(label, F.explode(tokens).alias("token"))
+        .groupBy("token", label)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(F.broadcast(places), label)  # one row per class, which the driver holds anyway
         .groupBy("token")
-        .agg(F.array(*[F.count_if(F.col(label) == F.lit(c)) for c in classes]).alias("n"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("_class", "n"))).alias("m"))
+        .select("token", F.transform(every, lambda i: F.coalesce(F.try_element_at("m", i), zero)).alias("n"))
     )
-    sums = [F.coalesce(F.sum(F.get("n", F.lit(i))), F.lit(0)) for i in range(len(classes))]
-    size, *totals = counts.agg(F.count(F.lit(1)), *sums).first()
+    sums = counts.select(F.posexplode("n").alias("c", "n")).groupBy("c")
+    found = {r["c"]: r for r in sums.agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n")).collect()}
+    size = found[0]["size"] if found else 0
+    totals = [found[i]["n"] if found else 0 for i in range(len(classes))]
     n_docs = sum(r["n"] for r in stats)
     priors = [
         math.log(r["n"] + smoothing) - math.log(n_docs + smoothing * len(classes)) for r in stats
@@ -123,8 +124,8 @@ def fit_token_bayes(
     base = [math.log(t + smoothing * size) if size else 0.0 for t in totals]
     weights = counts.select(
         "token",
-        F.array(
-            *[F.ln(F.get("n", F.lit(i)) + F.lit(smoothing)) - F.lit(b) for i, b in enumerate(base)]
+        F.zip_with(
+            "n", F.array(*map(F.lit, base)), lambda n, b: F.ln(n + F.lit(smoothing)) - b
         ).alias("w"),
     )
     return TokenBayes(classes, priors, weights)
@@ -140,7 +141,7 @@ def respond(
     """
     error = F.when(text.isNull(), F.lit("text is missing")).when(
         normal == "", F.lit("text has no tokens")
-    ).when(logits.isNull(), F.lit("text has no id"))
+    )
     none = F.array().cast("array<double>")
     base = df.select(
         *keep,
@@ -174,28 +175,10 @@ def score_documents(
     """
     rows = docs.select(*ids, *keep, text)
     tokens = tokenize(F.col(text))
-    if model.fits(limit):
-        scored = model.logits(rows, rows.columns, tokens, limit)
-    else:
-        scored = _scored_by_join(rows, ids, model, tokens, limit)
-    scored = scored.withColumn("_normal", normalize(F.col(text)))
+    scored = model.logits(rows, rows.columns, tokens, limit).withColumn("_normal", normalize(F.col(text)))
     return respond(scored, F.col(text), F.col("_normal"), F.col("logits"), [*ids, *keep])
 
 
-def _scored_by_join(rows, ids, model, tokens, limit) -> DataFrame:
-    """``rows`` with their logits, joined back by ``ids``.
-
-    Texts are placed by ``ids`` once; scoring them and joining the logits back
-    both use that one exchange. Spark only reuses it if both sides drop NULL
-    ids, so texts without an id, which get an error, are added separately.
-    """
-    named = reduce(and_, [F.col(i).isNotNull() for i in ids])
-    placed = rows.where(named).repartition(*ids)
-    logits = model.logits(placed, ids, tokens, limit)
-    nameless = rows.where(~named).withColumn("logits", F.lit(None).cast("array<double>"))
-    return placed.join(logits, ids, "left").unionByName(nameless)
-
-
 # --- pyspark.ml classifiers --------------------------------------------------
 
 _STAGES = {

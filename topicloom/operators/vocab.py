@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from topicloom.operators.joins import lookup_join
 from topicloom.operators.lookup import look_up
 from topicloom.operators.ranking import dense_index
-from topicloom.runtime import BROADCAST_BYTES, measure
+from topicloom.runtime import BROADCAST_BYTES, cut, measure
 from topicloom.settings import UNK, UNK_ID
 
 
@@ -23,6 +23,16 @@ def _token_rows_outer(docs: DataFrame, ids: list[str], tokens: Column) -> DataFr
     return rows.withColumn("token", F.coalesce("token", F.lit("")))
 
 
+def keyed_tokens(docs: DataFrame, keep: list[str], tokens: Column) -> DataFrame:
+    """``keep``, ``_tokens`` and a key of its own in ``_row`` for every row, written once.
+
+    Rows that are scattered token by token come together again on that key, so
+    repeated and missing ids stay rows of their own.
+    """
+    key = F.monotonically_increasing_id().alias("_row")
+    return cut(docs.select(*keep, tokens.alias("_tokens"), key))
+
+
 def token_counts(rows: DataFrame) -> DataFrame:
     """Occurrences per token, summed in each map task before the shuffle."""
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
@@ -126,9 +136,10 @@ def _encode_by_join(docs, ids, tokens, vocab, limit, counted) -> DataFrame:
     """``(ids, _idx)`` by joining tokens to the vocabulary.
 
     Tokens of a document are gathered in the map task before the one shuffle
-    by ``ids``.
+    by the rows' own key, which no id has to be.
     """
-    rows = _token_rows_outer(docs, ids, tokens)
+    keyed = keyed_tokens(docs, ids, tokens)
+    rows = _token_rows_outer(keyed, ["_row"], F.col("_tokens"))
     counts = None
     if counted:
         # the mark of documents without tokens may be hot: count it as such
@@ -136,8 +147,10 @@ def _encode_by_join(docs, ids, tokens, vocab, limit, counted) -> DataFrame:
         counts = vocab.select("token", "n").unionByName(blank)
     found = lookup_join(rows, vocab.select("token", "idx"), "token", limit, counts=counts)
     at = F.when(F.col("pos").isNotNull(), F.struct("pos", "idx"))
-    gathered = found.groupBy(*ids).agg(F.array_sort(F.collect_list(at)).alias("_at"))
-    return gathered.select(*ids, F.transform("_at", lambda x: x["idx"]).alias("_idx"))
+    gathered = found.groupBy("_row").agg(F.array_sort(F.collect_list(at)).alias("_at"))
+    return keyed.select("_row", *ids).join(gathered, "_row").select(
+        *ids, F.transform("_at", lambda x: x["idx"]).alias("_idx")
+    )
 
 
 def label_index(df: DataFrame, col: str) -> DataFrame:

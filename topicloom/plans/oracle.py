@@ -110,7 +110,7 @@ SQL["hub_resume"] = f"""
 SELECT hub, ord FROM ({_HUBS})
 WHERE ord >= coalesce((SELECT max(ord) FROM ({_HUBS}) WHERE hub = 'es'), 0)"""
 SQL["hubs_without_links"] = f"""
-SELECT DISTINCT url AS hub FROM ({_LINKS}) WHERE url IN ({_STORED})"""
+SELECT hub FROM ({_HUBS}) WHERE hub NOT IN (SELECT hub FROM ({_FIRST_LINK}) WHERE url NOT IN ({_STORED}))"""
 SQL["link_report"] = f"""
 SELECT h.hub, count(l.hub) AS found, coalesce(max(f.new), 0) AS new
 FROM ({_HUBS}) h LEFT JOIN ({_LINKS}) l ON h.hub = l.hub
@@ -222,7 +222,7 @@ v AS (SELECT token, row_number() OVER (ORDER BY f.doc_id, f.pos) AS idx FROM f),
 e AS (SELECT doc_id, list(coalesce(v.idx, 0) ORDER BY pos) AS q
       FROM t LEFT JOIN v ON t.token = v.token GROUP BY doc_id)
 SELECT s.doc_id, (dense_rank() OVER (ORDER BY lang) - 1)::INTEGER AS target, part,
-       array_to_string(list_resize(coalesce(q, []), 90, 0), ' ') AS seq
+       array_to_string(list_resize(coalesce(q, []), 4096, 0), ' ') AS seq
 FROM s LEFT JOIN e ON s.doc_id = e.doc_id"""
 
 SQL["softmax"] = """
@@ -408,11 +408,11 @@ idf AS (SELECT token, ln(((SELECT n FROM dn) + 1)::DOUBLE / (count(DISTINCT doc_
         FROM ({_DOC_TOKENS}) GROUP BY token)"""
 SQL["doc_embedding"] = f"""
 WITH {_IDF},
-h AS (SELECT token, ('0x' || left(md5(token), 6))::BIGINT % 16 AS dim,
+h AS (SELECT token, ('0x' || left(md5(token), 6))::BIGINT % 64 AS dim,
              CASE WHEN substr(md5(token), 7, 1) < '8' THEN idf ELSE -idf END AS w FROM idf),
 c AS (SELECT doc_id, dim, sum(w) AS v FROM ({_DOC_TOKENS}) JOIN h USING (token) GROUP BY ALL),
 n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM c GROUP BY doc_id),
-g AS (SELECT doc_id, unnest(range(0, 16)) AS dim FROM documents)
+g AS (SELECT doc_id, unnest(range(0, 64)) AS dim FROM documents)
 SELECT g.doc_id, g.dim, round(coalesce(v / nullif(norm, 0), 0), 6) AS v
 FROM g LEFT JOIN c ON g.doc_id = c.doc_id AND g.dim = c.dim LEFT JOIN n ON g.doc_id = n.doc_id"""
 _SENTS = r"list_filter(list_transform(regexp_extract_all(text, '([^.!?\n]+[.!?]*)', 1), lambda s: trim(s)), lambda s: s <> '')"

@@ -194,9 +194,9 @@ def hub_resume(spark, sf):
 
 @query
 def hubs_without_links(spark, sf):
-    hubs = _links(spark, sf).select("url").distinct()
-    fresh = joins.unseen(hubs, _stored(spark, sf)).select(F.col("url").alias("hub"))
-    return frontier.hubs_without_links(hubs.select(F.col("url").alias("hub")), fresh)
+    order = [F.col("page_id"), F.col("pos")]
+    fresh = frontier.new_links(_links(spark, sf), _stored(spark, sf), order)
+    return frontier.hubs_without_links(_hubs(spark, sf).select("hub"), fresh)
 
 
 @query
@@ -447,7 +447,7 @@ def val_split(spark, sf):
 @query
 def prepared_dataset(spark, sf):
     docs = training.with_targets(_documents(spark, sf).select("doc_id", "lang", "text"), TOPIC)
-    got = training.prepare(docs, "doc_id", "text", "target", SERVE_MAX_LEN, fit_on="train")
+    got = training.prepare(docs, "doc_id", "text", "target", fit_on="train")
     return got.rows.select(
         "doc_id", "target", "part", _joined(F.col("seq").cast("array<string>")).alias("seq")
     )
@@ -654,7 +654,7 @@ def similar_docs_topk(spark, sf):
 
 @query
 def doc_embedding(spark, sf):
-    vectors = summary.doc_embedding(_documents(spark, sf), "doc_id", _tokens(), 16)
+    vectors = summary.doc_embedding(_documents(spark, sf), "doc_id", _tokens())
     return vectors.select("doc_id", F.posexplode("embedding").alias("dim", "v")).select(
         "doc_id", F.col("dim").cast("bigint").alias("dim"), F.round("v", 6).alias("v")
     )
