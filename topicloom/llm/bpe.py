@@ -48,7 +48,10 @@ COUNTED = 1 << 18
 REMEMBERED = 1 << 17
 #: Bytes of a word that is merged with plain lists instead of a queue.
 SHORT = 64
+#: First bytes of a word whose state in the lexicon is remembered, and how many of them.
+HEAD, HEADS = 4, 1 << 16
 _NONE = 1 << 62
+_BYTES = [bytes([b]) for b in range(256)]
 
 # Fixed value: how the pre-tokenizer cuts a text into words.
 _SPACE = r"\p{White_Space}"
@@ -122,8 +125,8 @@ class Vocabulary:
                 break
             i = ranks.index(best)
             made = best & 0xFFFFFF
-            ids[i : i + 2] = [made]
-            del ranks[i]
+            ids[i] = made
+            del ids[i + 1], ranks[i]
             if i:
                 ranks[i - 1] = find(ids[i - 1] << 24 | made, _NONE)
             if i < len(ranks):
@@ -237,20 +240,37 @@ class Lexicon:
             parts.append(view[at : at + size])
             at += size
         self._first, self._target, self._skip, self._starts, _ = (p.cast("I") for p in parts[:5])
-        self._outputs, self._final = parts[4], parts[6]
+        self._outputs, self._label, self._final = parts[4:7]
         self._labels = 56 + sum(sizes[:5])
+        self._heads: dict[bytes, tuple[int, int]] = {}
+
+    def _walk(self, state: int, n: int, letters: bytes) -> tuple[int, int]:
+        """The state that ``letters`` lead to (-1: none), and the number they add up to."""
+        first, target, skip, label = self._first, self._target, self._skip, self._label
+        for b in letters:
+            at, end = first[state], first[state + 1]
+            if at == end:
+                return -1, 0
+            if label[at] != b:
+                at = self._map.find(_BYTES[b], self._labels + at + 1, self._labels + end) - self._labels
+                if at < 0:
+                    return -1, 0
+            n += skip[at]
+            state = target[at]
+        return state, n
 
     def get(self, word: bytes) -> bytes | None:
-        """The packed ids of a word."""
-        state, n = 0, 0
-        first, target, skip, base, find = self._first, self._target, self._skip, self._labels, self._map.find
-        for i in range(len(word)):
-            at = find(word[i : i + 1], base + first[state], base + first[state + 1])
-            if at < 0:
-                return None
-            n += skip[at - base]
-            state = target[at - base]
-        if not self._final[state]:
+        """The packed ids of a word; where its first letters lead to is remembered."""
+        head = word[:HEAD]
+        place = self._heads.get(head)
+        if place is None:
+            place = self._walk(0, 0, head)
+            if len(self._heads) < HEADS:
+                self._heads[head] = place
+        state, n = place
+        if state >= 0:
+            state, n = self._walk(state, n, word[HEAD:])
+        if state < 0 or not self._final[state]:
             return None
         return bytes(self._outputs[4 * self._starts[n] : 4 * self._starts[n + 1]])
 
