@@ -111,6 +111,24 @@ def test_dense_index(spark):
     assert got == [(x, i + 10) for i, x in enumerate(sorted(r[0] for r in got))]
 
 
+@pytest.mark.parametrize("limit", [1, 1 << 20])
+def test_drop_repeats(spark, limit):
+    data = [("u", 2, "b"), ("u", 1, "a"), ("v", 3, "c"), ("v", 3, "c"), ("w", 4, "d"), (None, 6, "f"), (None, 5, "e"),
+            ("x", None, "h"), ("x", 7, "g")]
+    df = spark.createDataFrame(data, "url string, page_id bigint, html string")
+    once = ranking.drop_repeats(df, "url", "page_id", limit)
+    assert sorted(map(str, (r["html"] for r in once.collect()))) == ["a", "c", "d", "e", "h"]
+    assert ranking.drop_repeats(df.limit(0), "url", "page_id", limit).count() == 0
+
+
+def test_drop_repeats_moves_no_page(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    once = ranking.drop_repeats(pages.union(pages), "url", "page_id")
+    assert once.count() == pages.count()
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
 def test_labels(spark):
     assert rows(vocab.label_index(docs(spark), "lang"), "lang", "target") == [("x", 0), ("y", 1)]
     df = spark.createDataFrame([(1,), (2,), (3,), (None,)], "label int")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from topicloom.operators.clean import clean_documents
 from topicloom.operators.extract import extract_articles
 from topicloom.operators.frontier import new_links
-from topicloom.operators.ranking import first_per_key
+from topicloom.operators.ranking import drop_repeats
 from topicloom.runtime import cut, small_side
 from topicloom.settings import DEFAULT_LAYOUT, Layout
 
@@ -33,5 +33,5 @@ def build_corpus(
     pages: DataFrame, category: Column, layout: Layout = DEFAULT_LAYOUT, **rules
 ) -> DataFrame:
     """Every article page once, extracted and cleaned."""
-    once = first_per_key(pages.where(F.col("html").isNotNull()), "url", [F.col("page_id")])
+    once = drop_repeats(pages.where(F.col("html").isNotNull()), "url", "page_id")
     return clean_documents(extract_articles(once, category, layout), **rules)

@@ -69,7 +69,8 @@ _FIRST_LINK = f"""
   SELECT * FROM ({_LINKS}) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, pos) = 1"""
 _LAST = rf"""
   SELECT {_LANG} AS hub,
-         greatest(coalesce(max(try_cast(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS BIGINT)), 1), 1) AS last_page
+         greatest(coalesce(max(list_max(list_transform(list_append(coalesce({_HREFS}, []), url),
+           lambda h: try_cast(nullif(regexp_extract(h, '[?&]page=([0-9]+)', 1), '') AS BIGINT)))), 1), 1) AS last_page
   FROM pages GROUP BY 1"""
 _HUBS = f"""
   SELECT hub, row_number() OVER (ORDER BY hub) - 1 AS ord

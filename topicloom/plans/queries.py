@@ -153,8 +153,9 @@ def vocab_json_(spark, sf):
 
 
 def _last_pages(spark, sf):
+    anchors = F.coalesce(frontier.pager_links(F.col("html"), SITE.pager), F.array().cast("array<string>"))
     return frontier.last_page(
-        _pages(spark, sf), _hub(), F.array("url"), r"[?&]page=([0-9]+)"
+        _pages(spark, sf), _hub(), F.concat(anchors, F.array("url")), r"[?&]page=([0-9]+)"
     )
 
 
