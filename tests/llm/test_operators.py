@@ -173,6 +173,41 @@ def test_lines_equal_brute_force(spark, edits, limit):
     assert lines.dedup_lines(rows.where("doc_id < 0"), "doc_id", "text", "kept").count() == 0
 
 
+def test_long_lines_equal_brute_force(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefg  é") for _ in range(n)) for n in (25, 39, 60, 85, 130, 200, 330)]
+    passage = base[-1][:60]
+    base += [passage + "".join(rng.choice("hijk ") for _ in range(100)) for _ in range(4)]
+    made = ["All rights reserved.", "}", " ", ""] * 3
+    for _ in range(120):
+        line = list(rng.choice(base))
+        for _ in range(rng.randint(0, len(line) // 30)):
+            at, kind = rng.randrange(len(line)), rng.randrange(3)
+            line[at : at + (kind > 0)] = [] if kind == 2 else [rng.choice("xyz")]
+        made.append("".join(line))
+    rng.shuffle(made)
+    docs = ["\n".join(made[i : i + 6]) for i in range(0, len(made), 6)] + [None]
+    rows = frame(spark, [(i, t, None) for i, t in enumerate(docs)])
+    out = lines.dedup_lines(rows, "doc_id", "text", "kept", 1, 20, 8, 40)
+    got = {r.doc_id: r.kept for r in out.collect()}
+    before, want, far = [], {}, 0
+    for i, t in enumerate(docs):
+        kept = []
+        for line in (t or "").split("\n"):
+            gone = line in before and len(line) >= 20
+            if not gone and len(line) >= 20:
+                near = [(b, distance(line, b)) for b in before if len(b) >= 20]
+                near = [d for b, d in near if d <= max(1, min(len(line), len(b)) // 40)]
+                gone = bool(near)
+                far += gone and min(near) > 1
+            before.append(line)
+            if not gone:
+                kept.append(line)
+        want[i] = None if t is None else kept
+    assert far > 5
+    assert got == want
+
+
 def test_mix_is_exact(spark):
     rows = [(i, "w " * (i % 7), s) for i, s in enumerate(["a"] * 60 + ["b"] * 9 + [None] * 20 + ["empty"])]
     rows[-1] = (rows[-1][0], None, "empty")
