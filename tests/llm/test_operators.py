@@ -173,7 +173,7 @@ def test_lines_equal_brute_force(spark, edits, limit):
     assert lines.dedup_lines(rows.where("doc_id < 0"), "doc_id", "text", "kept").count() == 0
 
 
-def test_long_lines_equal_brute_force(spark):
+def test_long_and_short_lines_equal_brute_force(spark):
     rng = random.Random(8)
     base = ["".join(rng.choice("abcdefg  é") for _ in range(n)) for n in (25, 39, 60, 85, 130, 200, 330)]
     passage = base[-1][:60]
@@ -188,13 +188,13 @@ def test_long_lines_equal_brute_force(spark):
     rng.shuffle(made)
     docs = ["\n".join(made[i : i + 6]) for i in range(0, len(made), 6)] + [None]
     rows = frame(spark, [(i, t, None) for i, t in enumerate(docs)])
-    out = lines.dedup_lines(rows, "doc_id", "text", "kept", 1, 20, 8, 40)
+    out = lines.dedup_lines(rows, "doc_id", "text", "kept", 1, 20, 8, 40, True)
     got = {r.doc_id: r.kept for r in out.collect()}
     before, want, far = [], {}, 0
     for i, t in enumerate(docs):
         kept = []
         for line in (t or "").split("\n"):
-            gone = line in before and len(line) >= 20
+            gone = line in before and bool(WORD.search(line))
             if not gone and len(line) >= 20:
                 near = [(b, distance(line, b)) for b in before if len(b) >= 20]
                 near = [d for b, d in near if d <= max(1, min(len(line), len(b)) // 40)]
