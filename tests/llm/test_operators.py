@@ -329,6 +329,19 @@ def test_main_text():
     assert pages.main_text(loose) == "One, two, three.\nFour, five."
 
 
+def test_names_decide_as_whole_words():
+    for name in ("page has-sidebar", "no-comments", "post-share-enabled", "with-widget", "sidebar"):
+        page = f"<body><div class='{name}'><article><p>One, two.</p></article></div></body>"
+        assert pages.main_text(page) == "One, two."
+        assert pages.main_text(f"<div class='{name}'><p>One, two.</p><p>Three.</p></div><p>No</p>").startswith("One, two.")
+    body = "<article><p>One, two.</p><p>Three, four.</p></article>"
+    for name in ("sidebar", "comment-list", "site-footer", "adSlot", "box share-buttons"):
+        assert pages.main_text(f"{body}<div class='{name}'><article><p>Much, much, more.</p></article></div>") == (
+            "One, two.\nThree, four."
+        )
+    assert pages.main_text("<div class=menu>x</div><div>Kept, here.</div>") == "Kept, here."
+
+
 def test_pages_table(spark):
     rows = spark.createDataFrame([(1, None), (2, "<p>a, b.</p>"), (2, "<p>a, b.</p>")], "page_id long, html string")
     got = pages.extract_main_text(rows, "html", "text").collect()

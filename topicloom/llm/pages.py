@@ -6,7 +6,10 @@ the number of blocks, links count against their path. The ratios are smoothed
 along the page, fused, and paths above the threshold hold the content; a block
 under the same article as content belongs to it, whatever its own ratio. Blocks
 under elements that say what they are (menus, forms, sidebars, adverts, notices,
-reader comments, ...) are left out first.
+reader comments, ...) are left out first. A class or id says so by one of its
+words, whole or last (or first before a word for a container), but not by a
+state as in ``has-sidebar``. If that would leave no text of an article, or on a
+page without articles take more than half of the text, it does not count.
 
 Each page is read alone, in one pass, whatever its length.
 
@@ -52,6 +55,12 @@ BOILER_WORDS = frozenset(
     "newsletter subscribe signup login share sharing social related recommended comment comments commentlist "
     "reply replies respond disqus widget copyright toolbar pager pagination skip".split()
 )
+#: First parts of names that tell a state, and last parts that only say container.
+STATES = frozenset("has have no not is are with without show hide can".split())
+CONTAINERS = frozenset(
+    "area bar block body box btn button buttons container content form group header icon icons inner item items left "
+    "link links list outer panel right row section slot unit wrap wrapper".split()
+)
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 ARTICLES = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -69,7 +78,7 @@ _MARKS = re.compile(r"[.,;:!?…。，、！？]")
 class _Open:
     """An element that is not closed yet."""
 
-    __slots__ = ("tag", "path", "boiler", "article", "block")
+    __slots__ = ("tag", "path", "boiler", "article", "block", "named")
 
     def __init__(self, tag: str, above: _Open | None, attributes: str, number: int):
         self.tag, self.block = tag, tag not in INLINE
@@ -77,6 +86,13 @@ class _Open:
         self.path = (*path, tag) if self.block else path
         self.article = number if tag in ARTICLES else above.article if above else 0
         self.boiler = (above.boiler if above else False) or _is_boiler(tag, attributes, bool(self.article))
+        #: Elements from the root down whose names say that they are not content.
+        self.named = above.named if above else ()
+        if _is_named(tag, attributes):
+            if self.block:
+                self.named = (*self.named, number)
+            else:
+                self.boiler = True
 
 
 def _is_boiler(tag: str, attributes: str, in_article: bool) -> bool:
@@ -91,14 +107,48 @@ def _is_boiler(tag: str, attributes: str, in_article: bool) -> bool:
         if m[1].lower() == "role":
             if value.strip().lower() in BOILER_ROLES:
                 return True
-        elif any(w.lower() in BOILER_WORDS for w in _NAME_PARTS.findall(value)):
-            return True
     return False
 
 
+def _is_named(tag: str, attributes: str) -> bool:
+    """Whether a class or id says that an element is not content."""
+    if tag in ("html", "body", "article", "main") or not attributes:
+        return False
+    for m in _NAMED.finditer(attributes):
+        if m[1].lower() != "role":
+            for name in (m[2] or m[3] or m[4] or "").split():
+                parts = [w.lower() for w in _NAME_PARTS.findall(name)]
+                while len(parts) > 1 and parts[-1] in CONTAINERS:
+                    parts.pop()
+                if parts and parts[0] not in STATES and parts[-1] in BOILER_WORDS:
+                    return True
+    return False
+
+
+def _unnamed(found: list[tuple[tuple[int, ...], int, int]]) -> set[int]:
+    """Named elements that hold the content after all, from the named elements, article and length of every block."""
+    held: set[int] = set()
+    while True:
+        left = [([e for e in named if e not in held], article, size) for named, article, size in found]
+        if any(article for _, article, _ in left):
+            if any(article and not named for named, article, _ in left):
+                return held
+            held.update(named[0] for named, article, _ in left if article)
+            continue
+        sizes: dict[int, int] = {}
+        for named, _, size in left:
+            if named:
+                sizes[named[0]] = sizes.get(named[0], 0) + size
+        most = [e for e, size in sizes.items() if 2 * size > sum(b[2] for b in found)]
+        if not most:
+            return held
+        held.update(most)
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
     """Path, number of the article around it, text and link characters of every block that may be content."""
     out: list[tuple[tuple[str, ...], int, str, int]] = []
+    names: list[tuple[int, ...]] = []
     stack: list[_Open] = [_Open("html", None, "", 0)]
     pieces: list[str] = []
     linked, links, at, number = 0, 0, 0, 0
@@ -110,6 +160,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text and not where.boiler:
                 out.append((where.path, where.article, text, linked))
+                names.append(where.named)
         pieces, linked = [], 0
 
     def say(text: str) -> None:
@@ -117,7 +168,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
         if not text:
             return
         top = stack[-1]
-        if top.boiler and not where.boiler or top.path != where.path or top.article != where.article:
+        moved = top.path != where.path or top.article != where.article or top.named != where.named
+        if moved or top.boiler != where.boiler:
             if not top.boiler or top.block:
                 flush()
                 where = top
@@ -182,10 +234,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
         if not stack[-1].block:
             above = stack[-2]
             stack[-1].boiler = above.boiler or stack[-1].boiler
-            stack[-1].article, stack[-1].path = above.article, above.path
+            stack[-1].article, stack[-1].path, stack[-1].named = above.article, above.path, above.named
         links += tag == "a"
     flush()
-    return out
+    held = _unnamed([(n, b[1], len(b[2])) for n, b in zip(names, out, strict=True)])
+    return [b for n, b in zip(names, out, strict=True) if held.issuperset(n)]
 
 
 def _block_above(stack: list[_Open]) -> _Open:
