@@ -342,6 +342,17 @@ def test_names_decide_as_whole_words():
     assert pages.main_text("<div class=menu>x</div><div>Kept, here.</div>") == "Kept, here."
 
 
+def test_blocks_without_marks():
+    page = "<div><p>A, b.</p><ul><li>apples<li>pears</ul><p>C, d.</p></div>"
+    assert pages.main_text(page) == "A, b.\napples\npears\nC, d."
+    assert pages.main_text("<div><p>First, one.</p><pre>a b</pre><p>Last, one.</p></div><div><ul><li><a href=x>Link</a></ul></div>") == (
+        "First, one.\na b\nLast, one."
+    )
+    part = "<p>Some words, some more.</p>"
+    assert pages.main_text(f"<article>{part}</article><div>{part}</div>").count("Some") == 2
+    assert pages.main_text("<ul><li>a plain line as long as others</ul><p>A line, as long as the others.</p>").count("\n") == 1
+
+
 def test_pages_table(spark):
     rows = spark.createDataFrame([(1, None), (2, "<p>a, b.</p>"), (2, "<p>a, b.</p>")], "page_id long, html string")
     got = pages.extract_main_text(rows, "html", "text").collect()

@@ -4,7 +4,8 @@ A page is read into blocks of text, each with its tags from the root down. Over
 all blocks of one path, text length and punctuation are summed and divided by
 the number of blocks, links count against their path. The ratios are smoothed
 along the page, fused, and paths above the threshold hold the content; a block
-under the same article as content belongs to it, whatever its own ratio. Blocks
+under the same article as content belongs to it, whatever its own ratio, and
+without articles so does a block between two content blocks of one parent. Blocks
 under elements that say what they are (menus, forms, sidebars, adverts, notices,
 reader comments, ...) are left out first. A class or id says so by one of its
 words, whole or last (or first before a word for a container), but not by a
@@ -33,6 +34,8 @@ from pyspark.sql import types as T
 #: Width of the smoothing along the page, and the share of the strongest path that content reaches.
 SIGMA = 1.0
 THRESHOLD = 0.2
+#: What a path without punctuation is worth a character; each mark adds to it.
+PLAIN = 0.5
 
 # Elements by what they do.
 INLINE = frozenset(
@@ -78,12 +81,14 @@ _MARKS = re.compile(r"[.,;:!?…。，、！？]")
 class _Open:
     """An element that is not closed yet."""
 
-    __slots__ = ("tag", "path", "boiler", "article", "block", "named")
+    __slots__ = ("tag", "path", "boiler", "article", "block", "named", "ids")
 
     def __init__(self, tag: str, above: _Open | None, attributes: str, number: int):
         self.tag, self.block = tag, tag not in INLINE
         path = above.path if above else ()
         self.path = (*path, tag) if self.block else path
+        ids = above.ids if above else ()
+        self.ids = (*ids, number) if self.block else ids
         self.article = number if tag in ARTICLES else above.article if above else 0
         self.boiler = (above.boiler if above else False) or _is_boiler(tag, attributes, bool(self.article))
         #: Elements from the root down whose names say that they are not content.
@@ -145,9 +150,9 @@ def _unnamed(found: list[tuple[tuple[int, ...], int, int]]) -> set[int]:
         held.update(most)
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
-    """Path, number of the article around it, text and link characters of every block that may be content."""
-    out: list[tuple[tuple[str, ...], int, str, int]] = []
+def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int, tuple[int, ...]]]:
+    """Path, number of the article around it, text, link characters and element numbers of every block of text."""
+    out: list[tuple[tuple[str, ...], int, str, int, tuple[int, ...]]] = []
     names: list[tuple[int, ...]] = []
     stack: list[_Open] = [_Open("html", None, "", 0)]
     pieces: list[str] = []
@@ -159,7 +164,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text and not where.boiler:
-                out.append((where.path, where.article, text, linked))
+                out.append((where.path, where.article, text, linked, where.ids))
                 names.append(where.named)
         pieces, linked = [], 0
 
@@ -168,7 +173,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
         if not text:
             return
         top = stack[-1]
-        moved = top.path != where.path or top.article != where.article or top.named != where.named
+        moved = top.path != where.path or top.ids != where.ids or top.article != where.article or top.named != where.named
         if moved or top.boiler != where.boiler:
             if not top.boiler or top.block:
                 flush()
@@ -235,6 +240,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
             above = stack[-2]
             stack[-1].boiler = above.boiler or stack[-1].boiler
             stack[-1].article, stack[-1].path, stack[-1].named = above.article, above.path, above.named
+            stack[-1].ids = above.ids
         links += tag == "a"
     flush()
     held = _unnamed([(n, b[1], len(b[2])) for n, b in zip(names, out, strict=True)])
@@ -264,17 +270,25 @@ def main_text(page: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     chars = np.bincount(of, [max(len(b[2]) - 2 * b[3], 0) for b in found]) / n
     marks = np.bincount(of, [len(_MARKS.findall(b[2])) for b in found]) / n
     # Along the page, in the order of blocks; then fused, and back to paths.
-    fused = _smooth(chars[of], sigma) * np.log1p(_smooth(marks[of], sigma))
-    own = chars * np.log1p(marks)
+    fused = _smooth(chars[of], sigma) * (PLAIN + np.log1p(_smooth(marks[of], sigma)))
+    own = chars * (PLAIN + np.log1p(marks))
     score = np.sqrt(np.maximum(own, 0) * (np.bincount(of, fused) / n))
     best = score.max()
     content = score >= threshold * best if best > 0 else np.ones(len(paths), bool)
     passed = [bool(content[i]) for i in of]
     articles = {b[1] for b, ok in zip(found, passed, strict=True) if ok and b[1]}
     parents = {b[0][:-1] for b, ok in zip(found, passed, strict=True) if ok}
+    # First and last content block of every element that holds one, itself or as a child.
+    span: dict[int, tuple[int, int]] = {}
+    for i, ok in enumerate(passed):
+        if ok:
+            for e in found[i][4][-2:]:
+                span[e] = (span.get(e, (i,))[0], i)
     kept = []
-    for (path, article, text, _), ok in zip(found, passed, strict=True):
-        inside = article in articles if articles else ok or (path[-1] in HEADINGS and path[:-1] in parents)
+    for i, ((path, article, text, _, ids), ok) in enumerate(zip(found, passed, strict=True)):
+        between = any(span[e][0] < i < span[e][1] for e in ids if e in span)
+        heads = path[-1] in HEADINGS and path[:-1] in parents
+        inside = ok or (article in articles if articles else between or heads)
         if inside:
             kept.append(text)
     return "\n".join(kept)
