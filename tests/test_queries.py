@@ -7,6 +7,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, rows_of
+from topicloom.operators import classify
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +39,17 @@ def test_entry(spark):
 
 def test_every_sql_belongs_to_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+@pytest.mark.parametrize("name,operator", [("model_choice", "choose_model"), ("multilabel_baseline", "multilabel_baseline")])
+def test_models_use_all_hashed_features(spark, sf, monkeypatch, name, operator):
+    given = []
+
+    def record(*args):
+        given.append(args[-1])
+        raise StopIteration
+
+    monkeypatch.setattr(classify, operator, record)
+    with pytest.raises(StopIteration):
+        queries()[name](spark, sf)
+    assert not isinstance(given[0], dict) or "features" not in given[0]

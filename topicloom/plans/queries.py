@@ -509,8 +509,7 @@ def evaluate_model(spark, sf):
 def model_choice(spark, sf):
     docs = _documents(spark, sf).select("doc_id", "lang", _tokens().alias("tokens"))
     train, val = training.train_test(docs, "doc_id", TOPIC)
-    params = {"features": 1 << 14}
-    return classify.choose_model(train, val, TOPIC, classify.model_kinds(), params)
+    return classify.choose_model(train, val, TOPIC, classify.model_kinds())
 
 
 @query
@@ -521,7 +520,7 @@ def multilabel_baseline(spark, sf):
     )
     train, test = training.train_test(docs, "doc_id", TOPIC)
     names = ["quality", "toxic"]
-    pred = classify.multilabel_baseline(train, test, ["doc_id"], names, {"features": 1 << 14})
+    pred = classify.multilabel_baseline(train, test, ["doc_id"], names)
     truth = _label_pairs(test)
     return metrics.multilabel_f1(truth, pred, ["doc_id"])
 
