@@ -23,6 +23,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The path of a public tokenizer's file; only those who encode need that package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a number of its own in every row.
 

@@ -4,17 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, chat, jaccard, lines, mixing, pages, quality, substrings, topk, toxicity
-from topicloom.llm.common import numbered, table
-from topicloom.llm.words import count_words
+from topicloom.llm import (
+    bpe,
+    chat,
+    fim,
+    jaccard,
+    lines,
+    mixing,
+    pages,
+    periodic,
+    quality,
+    simhash,
+    substrings,
+    topk,
+    toxicity,
+)
+from topicloom.llm.common import numbered, table, vocabulary
+from topicloom.llm.words import WORD, count_words
 from topicloom.runtime import cut
 
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -161,7 +172,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_bpe_encode")
 def op4_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokenizer = bpe.Tokenizer.fit(docs, "text", VOCABULARY)
+    tokenizer = bpe.Tokenizer.fit(docs, "text", vocabulary())
     coded = tokenizer.encode(docs, "text", "ids").select("doc_id", "ids")
     return tokenizer.decode(coded, "ids", "decoded").select(
         "doc_id",
@@ -340,3 +351,86 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_main_text(rows, "html", "text").select(
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
     )
+
+
+@query(
+    "op11_fill_in_middle",
+    """
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+             sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex
+      FROM documents
+    ), h AS (
+      SELECT *, ('0x' || substr(hex, 1, 8))::BIGINT AS h1, ('0x' || substr(hex, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(hex, 17, 8))::BIGINT AS h3, ('0x' || substr(hex, 25, 8))::BIGINT AS h4
+      FROM d
+    ), c AS (
+      SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+             CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                       OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+      FROM h
+    ), p AS (
+      SELECT *, substr(text, 1, lo) AS prefix, substr(text, lo + 1, hi - lo) AS middle,
+             substr(text, hi + 1, n - hi) AS suffix
+      FROM c
+    )
+    SELECT doc_id, n::BIGINT AS n, form,
+           CASE WHEN form <> 'plain' THEN lo END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text
+                  WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM p
+    """,
+)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fim.fill_in_middle(docs, "doc_id", "text", "fim").drop("text")
+    return made.select(
+        "doc_id",
+        *[F.col(f"fim.{c}").alias(c) for c in ("n", "form", "prefix_chars", "middle_chars")],
+        F.sha2("fim.output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("fim.output"), F.col("fim.form")), 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_simhash_near_dedup")
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_groups(docs, "doc_id", "text").select("doc_id", "fingerprint", "component_id")
+
+
+def _with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """The input of op13: every tenth document's words repeat from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(w, 1, a), F.slice(tail, 1, n - a)), " ")
+
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    # In a lambda of its own, so that the words are found once a text.
+    made = F.transform(F.array(words), repeated)[0]
+    planted = (h % 10 == 0) & F.col("text").rlike(WORD)
+    return docs.withColumn("text", F.when(planted, made).otherwise(F.col("text")))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _with_periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.periodic_runs(docs, "text", "found")
+    one = F.transform("found.runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("found.runs").cast("long").alias("n_runs"),
+        *[F.col(f"found.best.{c}").alias(c) for c in periodic.NAMES],
+        F.expr("1000 * found.best.length div found.best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(one, ""), 256).alias("runs_sha256"),
+        F.sha2("found.collapsed", 256).alias("collapsed_sha256"),
+    )
