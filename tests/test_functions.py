@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 import pytest
@@ -174,3 +175,77 @@ def test_references_and_quoted_signs(spark):
     df = spark.createDataFrame([(page,)], "p string")
     got = df.select(html.element_text(F.col("p"), Selector("h1")), html.strip_tags(F.col("p"))).first()
     assert tuple(got) == ("Rock 'n' roll ' '", "Rock 'n' roll ' 'x")
+
+
+# --- elements as intervals ---------------------------------------------------
+
+VOID = {"br", "img"}
+NEXT = {"p", "li"}
+SCOPES = {"div", "ul"}
+
+
+def plain_texts(page, chain):
+    """Texts of the elements of class ``chain[-1]`` inside those of the classes before it, by a stack."""
+    parts = re.findall(r"</?[a-z]+(?: class=[a-z])?/?>[^<]*", page)
+    texts = [re.sub(r"^<[^>]*>", "", t) for t in parts]
+    stack, done = [], []
+
+    def end(many, i):
+        for _ in range(many):
+            name, first, cls = stack.pop()
+            done.append((first, i, cls))
+
+    for i, part in enumerate(parts):
+        closes, name, cls, alone = re.match(r"<(/?)([a-z]+)(?: class=([a-z]))?(/?)>", part).groups()
+        names = [s[0] for s in reversed(stack)]
+        at = names.index(name) + 1 if name in names else 0
+        fences = [k for k, n in enumerate(names, 1) if n in SCOPES]
+        if closes or name in NEXT and (not fences or at < fences[0]):
+            end(at, i)
+        if not closes:
+            if alone or name in VOID:
+                done.append((i, i, cls))
+            else:
+                stack.append((name, i, cls))
+    end(len(stack), len(parts))
+    kept = [s for s in sorted(done) if s[2] == chain[0]]
+    for cls in chain[1:]:
+        kept = [s for s in sorted(done) if s[2] == cls and any(o[0] < s[0] and s[1] <= o[1] for o in kept)]
+    return ["".join(texts[a:b]) for a, b, _ in kept]
+
+
+def random_page(rng):
+    out = []
+    for i in range(rng.randrange(0, 60)):
+        name = rng.choice(["div", "span", "p", "li", "ul", "br", "b"])
+        kind = rng.random()
+        cls = rng.choice(["", "", " class=h", " class=k"])
+        out.append(f"</{name}>" if kind < 0.4 else f"<{name}{cls}>")
+        out.append(rng.choice(["", f"t{i}", " "]))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("chunk", [128, 3])
+def test_element_texts_equal_a_plain_stack(spark, monkeypatch, chunk):
+    monkeypatch.setattr(html, "_CHUNK", chunk)
+    rng = random.Random(chunk)
+    pages = [random_page(rng) for _ in range(150)]
+    pages.append("<div class=h>" + "<span class=k>x" * 700)
+    sels = {c: [Selector("[a-z]+", "class", x) for x in c] for c in ("h", "k", "hk", "hkh")}
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, t string")
+    got = df.select("i", *[html.element_texts(F.col("t"), *s).alias(c) for c, s in sels.items()]).collect()
+    for r in got:
+        assert {c: r[c] for c in sels} == {c: plain_texts(pages[r.i], c) for c in sels}, pages[r.i]
+
+
+def test_nested_matches_keep_their_whole_text(spark):
+    h = Selector("span", "class", "h")
+    cases = {
+        "<span class=h>a<span class=h>b</span>c</span>": ["abc", "b"],
+        "<div><span class='x h'>a</div>b": ["a"],
+        "<span class=h title='a>b'>1 < 2 &amp; 3</span>": ["1 < 2 & 3"],
+        "<SPAN CLASS=\"h\">x<br/>y": ["xy"],
+        "<b>no</b>": [], "": [], None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.x for r in df.select("t", html.element_texts(F.col("t"), h).alias("x")).collect()} == cases

@@ -143,15 +143,169 @@ def element_text(page: Column, sel: Selector) -> Column:
     return strip_tags(element_html(page, sel))
 
 
-def element_texts(page: Column, sel: Selector) -> Column:
-    """Texts of all elements ``sel`` names, in page order."""
-    tails = F.split(page, open_tag(sel))
-    return let(
-        tails,
-        lambda t: F.transform(
-            F.slice(t, F.lit(2), F.size(t)), lambda x: strip_tags(_until_close(x, sel.tag))
+# --- all elements of a page, as intervals of its pieces -----------------------
+#
+# A piece is a tag and the text up to the next tag. An element is the interval
+# ``[open, close)`` of the pieces from its opening tag to before its end tag, so
+# its text is theirs, and one element holds another if its interval does.
+
+# Fixed values of HTML: elements without content, elements that the next of their
+# kind ends, and those across which it does not.
+_VOID = (
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
+    "track", "wbr",
+)
+_ENDED_BY_NEXT = ("p", "li", "dt", "dd", "option", "tr", "td", "th")
+_SCOPES = (
+    "article", "aside", "blockquote", "body", "button", "div", "dl", "footer", "form", "header",
+    "main", "nav", "ol", "section", "select", "table", "ul",
+)
+_TAG = rf"</?[A-Za-z]{_TAG_END}"
+_PIECE = rf"(?s){_TAG}(?:[^<]++|<(?!/?[A-Za-z]{_TAG_END}))*+"
+
+_OPEN = "struct<name:string,open:int,hits:int>"
+_SPAN = "struct<open:int,close:int,depth:int,hits:int>"
+# Tags that are gone through together: what they gather is copied at every tag, the rest once a chunk.
+_CHUNK = 128
+
+
+def pieces(page: Column) -> Column:
+    """The tags of a page in order, each with the text after it."""
+    return F.regexp_extract_all(page, F.lit(_PIECE), F.lit(0))
+
+
+def _tag_events(parts: Column, sels: tuple[Selector, ...]) -> Column:
+    """Per piece: its element's name, whether it closes or stands alone, and the selectors it meets as bits."""
+    def event(piece):
+        hits = F.lit(0)
+        for i, sel in enumerate(sels):
+            hits = hits + F.when(F.rlike(piece, F.lit("^" + open_tag(sel))), 1 << i).otherwise(0)
+        name = F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][^\s/>]*)", 1))
+        return F.struct(
+            name.alias("name"),
+            F.startswith(piece, F.lit("</")).alias("closes"),
+            (name.isin(*_VOID) | F.rlike(piece, F.lit(r"^<[^>]*/>"))).alias("alone"),
+            hits.cast("int").alias("hits"),
+        )
+
+    return F.transform(parts, event)
+
+
+def _ended(state: Column, many: Column) -> Column:
+    """Spans of the elements among the ``many`` innermost that a selector names; they end here."""
+    gone = F.transform(
+        F.slice(state["stack"], F.lit(1), many),
+        lambda s, k: F.struct(
+            s["open"].alias("open"), state["i"].alias("close"),
+            (F.size(state["stack"]) - k - 1).cast("int").alias("depth"), s["hits"].alias("hits"),
         ),
     )
+    return F.filter(gone, lambda s: s["hits"] > 0)
+
+
+def element_spans(parts: Column, sels: tuple[Selector, ...]) -> Column:
+    """``open, close, depth, hits`` of every element that one of ``sels`` names, in page order.
+
+    One pass over the tags with the open elements on a stack, innermost first.
+    An end tag ends the nearest open element of its name and all inside it, or
+    nothing if there is none; what never ends runs to the end of the page.
+    ``depth`` counts the open elements around it, ``hits`` has a bit per selector.
+    """
+    def step(state, e):
+        names = F.transform(state["stack"], lambda s: s["name"])
+        at = F.array_position(names, e["name"]).cast("int")
+        fence = F.array_position(F.transform(names, lambda n: n.isin(*_SCOPES)), True).cast("int")
+        next_ = e["name"].isin(*_ENDED_BY_NEXT) & ((fence == 0) | (at < fence))
+        many = F.when(e["closes"] | next_, at).otherwise(0)
+
+        def moved(ended):
+            spans = _ended(state, ended)
+            itself = F.struct(
+                state["i"].alias("open"), state["i"].alias("close"),
+                F.size(state["stack"]).alias("depth"), e["hits"].alias("hits"),
+            )
+            spans = F.when(e["alone"] & (e["hits"] > 0), F.concat(spans, F.array(itself))).otherwise(spans)
+            rest = F.slice(state["stack"], ended + 1, F.size(state["stack"]))
+            opened = F.struct(e["name"].alias("name"), state["i"].alias("open"), e["hits"].alias("hits"))
+            stack = F.when(e["closes"] | e["alone"], rest).otherwise(F.concat(F.array(opened), rest))
+            return F.struct(
+                (state["i"] + 1).alias("i"),
+                stack.alias("stack"),
+                F.concat(state["done"], spans).alias("done"),
+            )
+
+        return let(many, moved)
+
+    none = F.array().cast(f"array<{_SPAN}>")
+
+    def of_chunk(events, state, k):
+        start = F.struct(state["i"].alias("i"), state["stack"].alias("stack"), none.alias("done"))
+        return F.aggregate(F.slice(events, k * _CHUNK + 1, F.lit(_CHUNK)), start, step)
+
+    def add(state, chunk):
+        return F.struct(
+            chunk["i"].alias("i"), chunk["stack"].alias("stack"),
+            F.concat(state["done"], chunk["done"]).alias("done"),
+        )
+
+    def all_spans(events):
+        start = F.struct(
+            F.lit(0).alias("i"), F.array().cast(f"array<{_OPEN}>").alias("stack"), none.alias("done")
+        )
+        return F.aggregate(
+            F.sequence(F.lit(0), F.floor(F.size(events) / _CHUNK).cast("int")),
+            start,
+            lambda state, k: let(of_chunk(events, state, k), lambda chunk: add(state, chunk)),
+            lambda s: F.array_sort(F.concat(s["done"], _ended(s, F.size(s["stack"])))),
+        )
+
+    return let(_tag_events(parts, sels), all_spans)
+
+
+def _chosen(spans: Column, count: int) -> Column:
+    """The spans of the last selector that lie in one of the selector before it, and so on outwards."""
+    def named(i):
+        return F.filter(spans, lambda s: s["hits"].bitwiseAND(1 << i) > 0)
+
+    def inside(kept, i):
+        return let(
+            kept,
+            lambda outer: F.filter(
+                named(i),
+                lambda s: F.exists(outer, lambda o: (o["open"] < s["open"]) & (s["close"] <= o["close"])),
+            ),
+        )
+
+    kept = named(0)
+    for i in range(1, count):
+        kept = inside(kept, i)
+    return kept
+
+
+def element_texts(page: Column, *sels: Selector) -> Column:
+    """Texts of all elements the last selector names, in page order, each with all that is inside it.
+
+    Of several selectors every one but the last names an element around it.
+    A page without such an element has none, a NULL page NULL.
+    """
+    def found(parts):
+        texts = F.transform(parts, lambda p: F.regexp_replace(p, f"^{_TAG}", ""))
+
+        def of(ts):
+            chosen = let(element_spans(parts, sels), lambda spans: _chosen(spans, len(sels)))
+            return F.transform(
+                chosen,
+                lambda s: decode_entities(
+                    F.array_join(F.slice(ts, s["open"] + 1, s["close"] - s["open"]), "")
+                ),
+            )
+
+        return let(texts, of)
+
+    none = F.array().cast("array<string>")
+    return F.when(F.rlike(page, F.lit(open_tag(sels[-1]))), let(pieces(page), found)).otherwise(
+        F.when(page.isNotNull(), none)
+    )
 
 
 def _attr_of(tag_text: Column, attr: str) -> Column:

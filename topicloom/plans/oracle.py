@@ -127,6 +127,11 @@ FROM pages"""
 SQL["article_text"] = f"SELECT page_id, {_ART} AS text FROM pages"
 SQL["article_title"] = f"SELECT page_id, {_H1} AS title FROM pages"
 SQL["article_hubs"] = f"SELECT page_id, array_to_string({_HUBLIST}, '|') AS hubs FROM pages"
+SQL["article_paragraphs"] = f"""
+SELECT page_id, i - 2 AS pos, {_entities("regexp_replace(p[i], '<[^>]*>', '', 'g')")} AS text
+FROM (SELECT page_id, p, unnest(range(2, len(p) + 1)) AS i
+      FROM (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>') AS p
+            FROM pages))"""
 SQL["article_tags"] = "SELECT page_id, 'utf-8' AS tags, 'Без тегов' AS tags_missing FROM pages"
 SQL["article_date"] = """
 SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS date, 'Без даты' AS date_missing FROM pages"""

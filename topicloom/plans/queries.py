@@ -230,6 +230,14 @@ def article_hubs(spark, sf):
     return _articles(spark, sf).select("page_id", "hubs")
 
 
+@query
+def article_paragraphs(spark, sf):
+    """Every paragraph inside the body: a paragraph without end tag ends where the next one begins."""
+    found = html.element_texts(html.visible(F.col("html")), SITE.body, Selector("p"))
+    rows = extract.fetched(_pages(spark, sf)).select("page_id", F.posexplode(found).alias("pos", "text"))
+    return rows.select("page_id", F.col("pos").cast("bigint").alias("pos"), "text")
+
+
 @query
 def article_tags(spark, sf):
     layout = Layout(
