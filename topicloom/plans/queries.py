@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import arrays, html, labels, text
 from topicloom.operators import (
-    classify, clean, extract, frontier, joins, metrics, ranking, similar, split, summary, vocab,
+    approximate, classify, clean, extract, frontier, joins, metrics, ranking, similar, split, summary, vocab,
 )
 from topicloom.plans import corpus, training
-from topicloom.runtime import scratch, spread
+from topicloom.runtime import cut, scratch, spread
 from topicloom.settings import NO_TEXT, SERVE_MAX_LEN, UNK, Layout, Selector
 from topicloom.sources import tables, vocab_json
 from topicloom.streaming import jobs
@@ -660,6 +660,26 @@ def similar_docs_topk(spark, sf):
     return _similar(spark, sf)
 
 
+def _hashed(spark, sf):
+    vectors = _embeddings(spark, sf)
+    return approximate.search(vectors, approximate.build_index(vectors), 5)
+
+
+@query
+def similar_docs_hashed(spark, sf):
+    """Neighbours by the hash index; ``similar_docs_recall`` says how many it finds."""
+    return _hashed(spark, sf)
+
+
+@query
+def similar_docs_recall(spark, sf):
+    """The exact neighbours, and whether the hash index finds nine of ten; no cosine of it may differ."""
+    found = approximate.recall(cut(_similar(spark, sf)), cut(_hashed(spark, sf)))
+    return found.select(
+        F.col("n").alias("n_neighbours"), (F.col("recall") >= 0.9).alias("recall_reached"), "n_wrong"
+    )
+
+
 @query
 def doc_embedding(spark, sf):
     vectors = summary.doc_embedding(_documents(spark, sf), "doc_id", _tokens())
