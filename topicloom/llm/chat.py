@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import ref
-from topicloom.runtime import cut
+from topicloom.runtime import cut, discard
 
 # The template's control strings and what stands for them in a text.
 # Every backslash of an escaped text starts one of these codes, so they can be
@@ -83,11 +83,13 @@ def best_paths(
     leaves = whole.join(answered, ["c", "m"], "left_anti")
     rank = Window.partitionBy("c").orderBy(F.desc("score"), "m")
     best = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
-    paths = best.select("c", F.col("m").alias("leaf"), "branch", "m", "depth")
+    paths = cut(best.select("c", F.col("m").alias("leaf"), "branch", "m", "depth"))
     for i, jump in enumerate(jumps):
         far = paths.join(jump.where(F.col("up").isNotNull()), ["c", "m"])
         far = far.select("c", "leaf", "branch", F.col("up").alias("m"), (F.col("depth") - (1 << i)).alias("depth"))
-        paths = paths.unionByName(far)
+        # Written every round: the plan would else hold all rounds before it twice.
+        before, paths = paths, cut(paths.unionByName(far))
+        discard(before)
     return paths
 
 
