@@ -83,6 +83,13 @@ def delete_paths(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of the shared file system; none if there is no such folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+
+
 def discard(cut_table: DataFrame) -> None:
     """Delete a table that ``cut`` returned, once all that reads it is written itself."""
     delete_paths(cut_table.sparkSession, [cut_table._cut_path])

@@ -20,6 +20,7 @@ from topicloom.operators.ranking import first_per_key
 from topicloom.runtime import cut, small_side
 from topicloom.settings import DEFAULT_LAYOUT, Layout
 from topicloom.sources.tables import ARTICLES, PAGES
+from topicloom.streaming.seen import FIRST, SeenKeys
 
 
 def file_stream(
@@ -61,21 +62,38 @@ def ingest(
     category: Column,
     layout: Layout = DEFAULT_LAYOUT,
     errors: str | None = None,
+    seen: str | None = None,
+    **sizes: int,
 ) -> StreamingQuery:
     """Append the articles of arriving pages that are not stored.
 
-    Only new pages are extracted. A repeated batch finds its own rows in the
-    store, so nothing is added twice. With ``errors``, pages that did not arrive
-    or lack a field are logged there, one folder per batch, and the job goes on.
+    Only new pages are extracted. Their URLs are kept at ``seen`` (beside the
+    store by default; ``sizes`` are those of ``SeenKeys.open``), which a batch
+    asks without reading the store; a store that is older than its ``seen`` is
+    read once. Only a batch that is repeated after a failure looks into the store
+    itself, for what it may have left there, so nothing is added twice. With
+    ``errors``, pages that did not arrive or lack a field are logged there, one
+    folder per batch, and the job goes on.
     """
-    _ensure(pages.sparkSession, store, ARTICLES)
+    spark = pages.sparkSession
+    _ensure(spark, store, ARTICLES)
+    known = SeenKeys.open(spark, seen or store.rstrip("/") + ".seen", **sizes)
+    if known.is_new():
+        known.add(spark.read.parquet(store).select(F.col("url").alias("key")), FIRST)
 
     def take(batch: DataFrame, batch_id: int) -> None:
         if errors:
             failed = extract_errors(batch, layout)
             failed.write.mode("overwrite").parquet(f"{errors}/batch={batch_id}")
-        fresh = unseen_in(fetched(batch), store, "url", [F.col("page_id")])
+        again = known.begin(batch_id)
+        rows = fetched(batch)
+        old, _ = small_side(known.known(rows.select(F.col("url").alias("key")), batch_id))
+        fresh = rows.join(old.withColumnRenamed("key", "url"), "url", "left_anti")
+        urls = cut(fresh.select(F.col("url").alias("key")).distinct())
+        order = [F.col("page_id")]
+        fresh = unseen_in(fresh, store, "url", order) if again else first_per_key(fresh, "url", order)
         extract_articles(fresh, category, layout).write.mode("append").parquet(store)
+        known.add(urls, batch_id)
 
     return (
         pages.writeStream.foreachBatch(take)
