@@ -14,11 +14,13 @@ go by the leaf's number; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import ref
-from topicloom.runtime import cut, discard
+from topicloom.runtime import cut
 
 # The template's control strings and what stands for them in a text.
 # Every backslash of an escaped text starts one of these codes, so they can be
@@ -60,37 +62,45 @@ def best_paths(
     one it answers; ``depth`` counts from the root, 0.
     """
     nodes = _nodes(messages, conv, msg, parent, score)
-    jumps = [nodes.select("c", "m", "up")]
-    reach = nodes.select("c", "m", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"), "score")
-    left = None
+    ends = F.col("up").isNull()
+    step = nodes.withColumn("depth", F.when(ends, 0).otherwise(1))
+    jumps, done, left = [], [], None
     while True:
+        # What has reached its root stays out of later rounds, so these only hold what lies deep.
+        done.append(step.where(ends))
+        moving = step.where(~ends)
         # Every round finds the root of some message, but for those that only go round.
-        before, left = left, reach.where(F.col("up").isNotNull()).count()
+        before, left = left, moving.count()
         if not left or left == before:
             break
-        over = reach.select("c", F.col("m").alias("up"), F.col("up").alias("up2"),
-                            F.col("depth").alias("more"), F.col("score").alias("add"))
-        reach = cut(
-            reach.join(over, ["c", "up"], "left").select(
+        jumps.append(moving.select("c", "m", "up"))
+        over = _union([*done, moving]).select(
+            "c", F.col("m").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("score").alias("add")
+        )
+        step = cut(
+            moving.join(over, ["c", "up"]).select(
                 "c", "m", F.col("up2").alias("up"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                (F.col("score") + F.coalesce("add", F.lit(0.0))).alias("score"),
+                (F.col("depth") + F.col("more")).alias("depth"), (F.col("score") + F.col("add")).alias("score"),
             )
         )
-        jumps.append(reach.select("c", "m", "up"))
-    whole = reach.where(F.col("up").isNull())
+    whole = _union(done)
     answered = nodes.select("c", F.col("up").alias("m")).where("m IS NOT NULL").distinct()
     leaves = whole.join(answered, ["c", "m"], "left_anti")
     rank = Window.partitionBy("c").orderBy(F.desc("score"), "m")
     best = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
-    paths = cut(best.select("c", F.col("m").alias("leaf"), "branch", "m", "depth"))
+    paths = [cut(best.select("c", F.col("m").alias("leaf"), "branch", "m", "depth"))]
     for i, jump in enumerate(jumps):
-        far = paths.join(jump.where(F.col("up").isNotNull()), ["c", "m"])
+        # The messages up to 2**i before the leaf are there; those of a depth of 2**i lead as many further.
+        deep = _union(paths).where(F.col("depth") >= 1 << i)
+        far = deep.join(jump, ["c", "m"])
         far = far.select("c", "leaf", "branch", F.col("up").alias("m"), (F.col("depth") - (1 << i)).alias("depth"))
-        # Written every round: the plan would else hold all rounds before it twice.
-        before, paths = paths, cut(paths.unionByName(far))
-        discard(before)
-    return paths
+        # Written: the plan would else hold all rounds before it twice.
+        paths.append(cut(far))
+    return _union(paths)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def format_paths(
