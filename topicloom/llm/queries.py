@@ -24,7 +24,7 @@ from topicloom.llm import (
 )
 from topicloom.llm.common import numbered, table, vocabulary
 from topicloom.llm.words import WORD, count_words
-from topicloom.runtime import cut
+from topicloom.runtime import cut, small_side
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -231,6 +231,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     seen = labels.where(~toxicity.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    seen, _ = small_side(cut(seen))
     model = toxicity.train(docs.join(seen, "doc_id"), "text", "toxic")
     return toxicity.score(docs, "text", model, "score").select(
         "doc_id",

@@ -37,8 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm.common import ref
+from topicloom.llm.common import fresh, ref
 from topicloom.llm.words import mix, sliced
+from topicloom.runtime import cut
 
 TRAIN_TEXTS = 4000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 32
@@ -284,26 +285,41 @@ def train(labelled: DataFrame, text: str, label: str, train_texts: int = TRAIN_T
     """Fit on at most ``train_texts`` different texts, half of each label as far as there are."""
     rows = labelled.where(ref(label).isin(0, 1) & ref(text).isNotNull())
     rows = rows.select(ref(label).cast("int").alias("y"), F.xxhash64(ref(text)).alias("h"), ref(text).alias("t"))
-    rows = rows.dropDuplicates(["y", "h"])
-    texts, labels = [], []
+    # Chosen by their hashes alone; only the chosen texts are read, and only their words leave a task.
+    named = cut(rows.select("y", "h").distinct())
+    texts, labels, words = [], [], {}
     for y in (1, 0):
         room = train_texts // 2 if y else train_texts - len(texts)
-        chosen = rows.where(F.col("y") == y).orderBy("h").limit(room)
-        for r in chosen.mapInArrow(_word_sets, "units array<string>").collect():
-            texts.append(set(r["units"]))
+        chosen = F.broadcast(named.where(F.col("y") == y).orderBy("h").limit(room))  # rows bounded by room
+        found = rows.join(chosen, ["y", "h"], "left_semi").select("h", "t").mapInArrow(_word_sets, _WORD_SETS)
+        for r in found.dropDuplicates(["h"]).orderBy("h").collect():
+            texts.append({words.setdefault(u, u) for u in r["units"]})
             labels.append(y)
     return fit(texts, np.array(labels, int))
 
 
+_WORD_SETS = "h long, units array<string>"
+
+
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of every text, once for its copies in one task."""
+    seen: set[int] = set()
     for batch in sliced(batches):
-        found = [sorted(units(t)) for t in batch.column("t").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["units"])
+        hashes = batch.column("h").to_pylist()
+        new = [i for i, h in enumerate(hashes) if h not in seen and not seen.add(h)]
+        found = [sorted(units(batch.column("t")[i].as_py())) for i in new]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([hashes[i] for i in new], pa.int64()), pa.array(found, pa.list_(pa.string()))],
+            names=["h", "units"],
+        )
 
 
 def score(docs: DataFrame, text: str, model: Model, name: str) -> DataFrame:
     """``docs`` with the toxicity ``name`` of every text, from 0 to 1."""
 
+    if fresh(docs, name) != name:
+        raise ValueError(f"there is a column {name} already")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearness = Nearness(Landmarks(list(model.words)))
         for batch in sliced(batches):
