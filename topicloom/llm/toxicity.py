@@ -134,11 +134,16 @@ class Landmarks:
         weight = np.concatenate([np.full(len(o), w, np.float32) for o, _, w in parts])
         some = np.zeros((len(near), len(self.words)), np.float32)
         order = np.argsort(owner, kind="stable")[np.count_nonzero(owner < 0) :]
-        for first in range(0, len(order), 1 << 14):
-            part = order[first : first + (1 << 14)]
-            mine = owner[part]
-            start = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-            some[mine[start]] += np.add.reduceat(self.table[at[part]] * weight[part, None], start)
+        owner, at, weight = owner[order], at[order], weight[order]
+        # Some words at a time as rows of subsequence weights: their products with the landmarks are one matrix.
+        width = len(self.codes)
+        rows = max((1 << 21) // width, 1)
+        for first in range(0, len(near), rows):
+            last = min(first + rows, len(near))
+            lo, hi = np.searchsorted(owner, [first, last])
+            cells = (owner[lo:hi] - first) * width + at[lo:hi]
+            held = np.bincount(cells, weight[lo:hi], (last - first) * width).astype(np.float32)
+            some[first:last] = held.reshape(-1, width) @ self.table[:width]
         some /= norm[near][:, None]
         some[some < LEAST] = 0
         out[near] = np.minimum(some, 1) ** POWER
