@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, HashingTF, StringIndexer
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from topicloom.functions.arrays import argmax, softmax
 from topicloom.functions.text import normalize, preview, tokenize
 from topicloom.operators.joins import lookup_join
-from topicloom.operators.lookup import sum_weights
+from topicloom.operators.lookup import send, sum_weights
 from topicloom.operators.metrics import evaluation
 from topicloom.operators.vocab import _token_rows_outer, keyed_tokens
 from topicloom.runtime import BROADCAST_BYTES, cut, measure
@@ -36,6 +37,7 @@ class TokenBayes:
     classes: list
     priors: list[float]
     weights: DataFrame
+    _held: Broadcast | None = field(default=None, repr=False, compare=False)
 
     def save(self, path: str) -> None:
         """Write the model as two Parquet tables."""
@@ -65,18 +67,27 @@ class TokenBayes:
         """Whether the weights are small enough to be sent to every task."""
         return measure(self.weights)[1] <= limit
 
+    def release(self) -> None:
+        """Take the weights back from the tasks; the next use measures and sends them again."""
+        if self._held is not None:
+            self._held.unpersist()
+            self._held = None
+
     def logits(
         self, docs: DataFrame, ids: list[str], tokens: Column, limit: int = BROADCAST_BYTES
     ) -> DataFrame:
         """``(ids, logits)``: log prior plus the summed token weights.
 
         Unknown tokens add nothing. Weights that fit are sent to the tasks and
-        every text is scored where it lies; larger ones are joined token by
+        every text is scored where it lies, once for all uses of the model;
+        larger ones are joined token by
         token, with sums started in the map task. Either way a repeated or
         missing id is a row like any other.
         """
-        if self.fits(limit):
-            return sum_weights(docs, ids, tokens, self.weights, self.priors, "logits")
+        if self._held is None and self.fits(limit):
+            self._held = send(self.weights, "token", "w")
+        if self._held is not None and limit:
+            return sum_weights(docs, ids, tokens, self._held, self.priors, "logits")
         keyed = keyed_tokens(docs, ids, tokens)
         rows = _token_rows_outer(keyed, ["_row"], F.col("_tokens"))
         found = lookup_join(rows, self.weights, "token", limit)

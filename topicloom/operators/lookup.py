@@ -13,13 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _sent(table: DataFrame, *columns: str):
-    """The table's columns as Arrow arrays, held once per Python worker."""
+def send(table: DataFrame, *columns: str) -> Broadcast:
+    """The table's columns as Arrow arrays, held once per Python worker. For tables of a checked size."""
     arrow = table.select(*columns).toArrow().combine_chunks()
     arrays = [arrow.column(c).combine_chunks() for c in columns]
     return table.sparkSession.sparkContext.broadcast(arrays)
@@ -39,7 +40,7 @@ def look_up(
     df: DataFrame, keep: list[str], tokens: Column, table: DataFrame, name: str
 ) -> DataFrame:
     """``keep`` and ``name``: the ``idx`` of every token, NULL for unknown ones."""
-    sent = _sent(table, "token", "idx")
+    sent = send(table, "token", "idx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, idx = sent.value
@@ -54,10 +55,9 @@ def look_up(
 
 
 def sum_weights(
-    df: DataFrame, keep: list[str], tokens: Column, table: DataFrame, start: list[float], name: str
+    df: DataFrame, keep: list[str], tokens: Column, sent: Broadcast, start: list[float], name: str
 ) -> DataFrame:
-    """``keep`` and ``name``: ``start`` plus the summed weight arrays of all tokens."""
-    sent = _sent(table, "token", "w")
+    """``keep`` and ``name``: ``start`` plus the summed weight arrays ``w`` of all tokens."""
     width = len(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,3 +79,65 @@ def sum_weights(
 
     rows = _with_tokens(df, keep, tokens)
     return rows.mapInArrow(run, _schema(df, keep, name, T.DoubleType()))
+
+
+def hashed_sums(
+    df: DataFrame, keep: list[str], tokens: Column, sent: Broadcast, dim: int, name: str
+) -> DataFrame:
+    """``keep`` and ``name``: the summed ``w`` of all tokens at their places ``at`` below ``dim``, unit length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place, weight = sent.value
+        place, weight = place.to_numpy(), weight.to_numpy()
+        for batch in batches:
+            *kept, words = batch.columns
+            at = pc.index_in(words.values, value_set=known.cast(words.type.value_type))
+            n = batch.num_rows
+            row = np.repeat(np.arange(n), np.diff(words.offsets.to_numpy()))
+            found = at.is_valid().to_numpy(zero_copy_only=False)
+            at = at.drop_null().to_numpy()
+            sums = np.bincount(row[found] * dim + place[at], weight[at], n * dim).astype(float).reshape(n, dim)
+            norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            sums = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
+            offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
+            made = pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([*kept, made], [*batch.schema.names[:-1], name])
+
+    rows = _with_tokens(df, keep, tokens)
+    return rows.mapInArrow(run, _schema(df, keep, name, T.DoubleType()))
+
+
+def best_sentences(
+    df: DataFrame, keep: list[str], tokens: Column, sent: Broadcast, k: int, name: str
+) -> DataFrame:
+    """``keep`` and ``name``: the places of the ``k`` sentences with the highest mean ``w``, in order.
+
+    ``tokens`` holds an array per sentence. Means are rounded to six digits, ties
+    go by place; sentences without a known token are not chosen.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weight = sent.value
+        weight = weight.to_numpy()
+        for batch in batches:
+            *kept, texts = batch.columns
+            lists = texts.values
+            words = lists.values
+            at = pc.index_in(words, value_set=known.cast(words.type))
+            found = at.is_valid().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[found]
+            total = np.bincount(of, weight[at.drop_null().to_numpy()], len(lists)).astype(float)
+            n = np.bincount(of, minlength=len(lists))
+            score = np.round(np.divide(total, n, out=np.full(len(lists), -np.inf), where=n > 0), 6)
+            ends = texts.offsets.to_numpy()
+            made = []
+            for first, last in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                part = score[first:last]
+                best = np.argsort(-part, kind="stable")[:k]
+                made.append(np.sort(best[np.isfinite(part[best])]).tolist())
+            made = pa.array(made, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept, made], [*batch.schema.names[:-1], name])
+
+    empty = F.array().cast("array<array<string>>")
+    rows = df.select(*keep, F.coalesce(tokens, empty).alias("_tokens"))
+    return rows.mapInArrow(run, _schema(df, keep, name, T.LongType()))

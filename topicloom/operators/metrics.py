@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.arrays import log_loss
 from topicloom.operators.ranking import top_per_group
+from topicloom.runtime import cut
 
 
 def accuracy(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
@@ -155,7 +156,7 @@ def rouge_n(pairs: DataFrame, ids: list[str], candidate: str, reference: str, n:
     """ROUGE-N of two token arrays per row: clipped n-gram overlap.
 
     N-grams of both sides are stacked and counted per pair; a repeated n-gram
-    is summed in the map task before the shuffle.
+    is summed in the map task before the shuffle. A repeated id is a pair of its own.
     """
     def side(col, is_cand):
         return F.transform(
@@ -163,13 +164,14 @@ def rouge_n(pairs: DataFrame, ids: list[str], candidate: str, reference: str, n:
         )
 
     both = F.explode_outer(F.concat(side(candidate, 1), side(reference, 0))).alias("g")
+    keyed = cut(pairs.select(F.monotonically_increasing_id().alias("_row"), *ids, candidate, reference))
     per_gram = (
-        pairs.select(*ids, both)
-        .groupBy(*ids, F.col("g.gram").alias("gram"))
+        keyed.select("_row", *ids, both)
+        .groupBy("_row", *ids, F.col("g.gram").alias("gram"))
         .agg(F.sum("g.c").alias("in_cand"), F.sum(1 - F.col("g.c")).alias("in_ref"))
     )
     real = F.col("gram").isNotNull()
-    sums = per_gram.groupBy(*ids).agg(
+    sums = per_gram.groupBy("_row", *ids).agg(
         F.sum(F.when(real, F.least("in_cand", "in_ref")).otherwise(0)).alias("overlap"),
         F.sum(F.when(real, F.col("in_cand")).otherwise(0)).alias("n_cand"),
         F.sum(F.when(real, F.col("in_ref")).otherwise(0)).alias("n_ref"),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.functions.arrays import let
 from topicloom.functions.text import sentences, tokenize
 from topicloom.operators.joins import lookup_join
+from topicloom.operators.lookup import best_sentences, hashed_sums, send
 from topicloom.operators.ranking import top_per_group
-from topicloom.runtime import cut
+from topicloom.operators.vocab import keyed_tokens
+from topicloom.runtime import BROADCAST_BYTES, cut, measure
 
 
 def idf_table(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -24,17 +25,22 @@ def idf_table(docs: DataFrame, tokens: Column) -> DataFrame:
 
 
 def doc_embedding(
-    docs: DataFrame, id_col: str, tokens: Column, dim: int = 64, idf: DataFrame | None = None
+    docs: DataFrame,
+    id_col: str,
+    tokens: Column,
+    dim: int = 64,
+    idf: DataFrame | None = None,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(id, embedding)``: TF-IDF hashed into ``dim`` signed buckets, unit length.
 
     The bucket and sign of a token come from its MD5, so the embedding needs no
     vocabulary and documents embedded at different times are comparable. A
-    document without tokens gets the zero vector.
+    document without tokens gets the zero vector; a repeated or missing id is a
+    document of its own. A table of token weights below ``limit`` bytes is sent to
+    the tasks and nothing is exchanged; a larger one is joined token by token.
     """
     weights = cut(idf if idf is not None else idf_table(docs, tokens)).select("token", "idf")
-    rows = docs.select(id_col, F.explode_outer(tokens).alias("token"))
-    rows = rows.withColumn("token", F.coalesce("token", F.lit("")))
     # md5 is taken once per distinct token, on the lookup side
     digest = F.md5("token")
     weights = weights.select(
@@ -42,8 +48,13 @@ def doc_embedding(
         F.pmod(F.conv(F.substring(digest, 1, 6), 16, 10).cast("int"), F.lit(dim)).alias("at"),
         F.when(F.substring(digest, 7, 1) < "8", F.col("idf")).otherwise(-F.col("idf")).alias("w"),
     )
-    cells = lookup_join(rows, weights, "token").groupBy(id_col, "at").agg(F.sum("w").alias("v"))
-    vectors = cells.groupBy(id_col).agg(
+    if measure(weights)[1] <= limit:
+        return hashed_sums(docs, [id_col], tokens, send(weights, "token", "at", "w"), dim, "embedding")
+    keyed = keyed_tokens(docs, [id_col], tokens)
+    rows = keyed.select("_row", F.explode_outer("_tokens").alias("token"))
+    rows = rows.withColumn("token", F.coalesce("token", F.lit("")))
+    cells = lookup_join(rows, weights, "token", limit).groupBy("_row", "at").agg(F.sum("w").alias("v"))
+    vectors = cells.groupBy("_row").agg(
         F.map_from_entries(
             F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "v")))
         ).alias("m"),
@@ -53,35 +64,44 @@ def doc_embedding(
         F.sequence(F.lit(0), F.lit(dim - 1)),
         lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), F.col("norm")), F.lit(0.0)),
     )
-    return vectors.select(id_col, scaled.alias("embedding"))
+    vectors = vectors.select("_row", scaled.alias("embedding"))
+    return keyed.select("_row", id_col).join(vectors, "_row").select(id_col, "embedding")
 
 
 def extractive_summary(
-    docs: DataFrame, id_col: str, text: str, k: int = 3, idf: DataFrame | None = None
+    docs: DataFrame,
+    id_col: str,
+    text: str,
+    k: int = 3,
+    idf: DataFrame | None = None,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(id, summary)``: the ``k`` sentences with the highest mean IDF, in text order.
 
-    Texts are placed by id once. While the IDF table can be broadcast, scoring,
-    ranking and picking the sentences all use that one exchange. A text without
-    an id gets the empty summary.
+    An IDF table below ``limit`` bytes is sent to the tasks, and sentences are
+    scored and picked where the text lies. With a larger one only tokens and
+    places are exchanged, by a key of the row. A repeated or missing id is a
+    document of its own.
     """
-    weights = cut(idf if idf is not None else idf_table(docs, tokenize(F.col(text))))
-    placed = docs.where(F.col(id_col).isNotNull()).select(id_col, text).repartition(id_col)
-    parts = placed.select(id_col, F.posexplode(sentences(F.col(text))).alias("sent", "sentence"))
-    rows = parts.select(id_col, "sent", F.explode(tokenize(F.col("sentence"))).alias("token"))
+    weights = cut(idf if idf is not None else idf_table(docs, tokenize(F.col(text)))).select("token", "idf")
+    split = docs.select(id_col, F.coalesce(sentences(F.col(text)), F.array().cast("array<string>")).alias("_parts"))
+    if measure(weights)[1] <= limit:
+        words = F.transform("_parts", lambda s: tokenize(s))
+        sent = send(weights, "token", "idf")
+        return _joined(best_sentences(split, [id_col, "_parts"], words, sent, k, "_at"), id_col)
+    keyed = cut(split.withColumn("_row", F.monotonically_increasing_id()))
+    parts = keyed.select("_row", F.posexplode("_parts").alias("sent", "sentence"))
+    rows = parts.select("_row", "sent", F.explode(tokenize(F.col("sentence"))).alias("token"))
     scored = (
-        lookup_join(rows, weights.select("token", "idf"), "token")
-        .groupBy(id_col, "sent")
+        lookup_join(rows, weights, "token", limit)
+        .groupBy("_row", "sent")
         .agg(F.round(F.avg("idf"), 6).alias("score"))
     )
-    best = top_per_group(scored, [id_col], [F.col("score").desc(), F.col("sent")], k)
-    picked = best.groupBy(id_col).agg(F.array_sort(F.collect_list("sent")).alias("at"))
+    best = top_per_group(scored.where("score IS NOT NULL"), ["_row"], [F.col("score").desc(), F.col("sent")], k)
+    picked = best.groupBy("_row").agg(F.array_sort(F.collect_list("sent")).alias("_at"))
+    return _joined(keyed.join(picked, "_row", "left"), id_col)
 
-    def joined(parts):
-        return F.array_join(F.transform("at", lambda i: F.get(parts, i)), " ")
 
-    summaries = placed.join(picked, id_col, "left").select(
-        id_col, F.coalesce(let(sentences(F.col(text)), joined), F.lit("")).alias("summary")
-    )
-    nameless = docs.where(F.col(id_col).isNull()).select(id_col, F.lit("").alias("summary"))
-    return summaries.unionByName(nameless)
+def _joined(picked: DataFrame, id_col: str) -> DataFrame:
+    chosen = F.transform("_at", lambda i: F.get("_parts", i.cast("int")))
+    return picked.select(id_col, F.coalesce(F.array_join(chosen, " "), F.lit("")).alias("summary"))

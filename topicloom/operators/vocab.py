@@ -172,16 +172,18 @@ def remap_max_label(df: DataFrame, col: str, top: Column) -> DataFrame:
 def label_sets(df: DataFrame, ids: list[str], labels: Column) -> DataFrame:
     """Multi-label targets: sorted label indices of every row of ``df``.
 
-    Sparse, so it does not matter how many labels there are; use
+    A repeated id is a row of its own. Sparse, so it does not matter how many labels there are; use
     ``functions.arrays.multi_hot`` for a zero/one array over a small set.
     """
-    rows = df.select(*ids, F.explode_outer(F.array_distinct(labels)).alias("label"))
+    keyed = keyed_tokens(df, ids, F.array_distinct(labels))
+    rows = keyed.select("_row", *ids, F.explode_outer("_tokens").alias("label"))
     rows = rows.withColumn("label", F.coalesce("label", F.lit("")))
     index = label_index(rows.where(F.col("label") != ""), "label")
     return (
         lookup_join(rows, index, "label")
-        .groupBy(*ids)
+        .groupBy("_row", *ids)
         .agg(F.array_sort(F.collect_list("target")).alias("targets"))
+        .drop("_row")
     )
 
 

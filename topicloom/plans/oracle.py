@@ -20,7 +20,6 @@ def _entities(c: str) -> str:
 
 
 _TOPIC = "lang"
-_CLASSES = ["de", "en", "es", "fr"]
 _LANG = r"regexp_extract(url, '//[^/]+/([a-z]{2})/', 1)"
 _PID = r"try_cast(nullif(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1), '') AS BIGINT)"
 _ART = _entities(
@@ -77,7 +76,8 @@ _HUBS = f"""
   FROM (SELECT DISTINCT {_LANG} AS hub FROM pages)"""
 _SCORED = """
   SELECT vec_id, l, cluster, label, list_position(l, list_max(l)) - 1 AS pred
-  FROM (SELECT vec_id, embedding[1:3] AS l, label AS cluster, label % 3 AS label FROM embeddings)"""
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS l, label AS cluster,
+               label % len(embedding) AS label FROM embeddings)"""
 
 
 def _where_split(part: str, n: str = "documents") -> str:
@@ -231,11 +231,10 @@ SELECT s.doc_id, (dense_rank() OVER (ORDER BY lang) - 1)::INTEGER AS target, par
        array_to_string(list_resize(coalesce(q, []), 4096, 0), ' ') AS seq
 FROM s LEFT JOIN e ON s.doc_id = e.doc_id"""
 
-SQL["softmax"] = """
-SELECT vec_id, round(exp(l[1]::DOUBLE - m) / s, 6) AS p0, round(exp(l[2]::DOUBLE - m) / s, 6) AS p1,
-       round(exp(l[3]::DOUBLE - m) / s, 6) AS p2
-FROM (SELECT *, exp(l[1]::DOUBLE - m) + exp(l[2]::DOUBLE - m) + exp(l[3]::DOUBLE - m) AS s
-      FROM (SELECT vec_id, l, list_max(l)::DOUBLE AS m FROM ("""+_SCORED+""")))"""
+SQL["softmax"] = f"""
+WITH e AS (SELECT vec_id, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM ({_SCORED}))
+SELECT vec_id, i - 1 AS pos, round(e[i] / list_sum(e), 6) AS p
+FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM e)"""
 SQL["argmax_class"] = f"SELECT vec_id, pred FROM ({_SCORED})"
 
 
@@ -254,12 +253,6 @@ w AS (SELECT tok.token, cls.lang, ln(coalesce(c, 0) + 1.0) - ln(coalesce(m, 0) +
 p AS (SELECT lang, ln(n + 1.0) - ln((SELECT sum(n) FROM cls) + (SELECT count(*) FROM cls)) AS prior FROM cls)"""
 
 
-def _class_columns(expr: str, name: str, digits: int) -> str:
-    return ", ".join(
-        f"round(max({expr}) FILTER (lang = '{c}'), {digits}) AS {name}{i}" for i, c in enumerate(_CLASSES)
-    )
-
-
 _SCORE = f"""
 WITH {_bayes('SELECT * FROM documents')},
 t AS ({_TALK_TOKENS}),
@@ -269,23 +262,22 @@ l AS (SELECT c.conv_id, c.turn, p.lang, prior + coalesce(x, 0) AS logit
       LEFT JOIN s ON c.conv_id = s.conv_id AND c.turn = s.turn AND s.lang = p.lang),
 m AS (SELECT *, max(logit) OVER (PARTITION BY conv_id, turn) AS top FROM l),
 e AS (SELECT *, exp(logit - top) / sum(exp(logit - top)) OVER (PARTITION BY conv_id, turn) AS prob FROM m),
-r AS (SELECT conv_id, turn, {_class_columns('prob', 'p', 6)}, {_class_columns('logit', 'logit', 4)},
-             CASE arg_min(lang, lang) FILTER (logit = top)
-               WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 END::BIGINT AS predicted_class
-      FROM e GROUP BY conv_id, turn)
+i AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS idx FROM cls),
+b AS (SELECT conv_id, turn, min(lang) FILTER (logit = top) AS best FROM e GROUP BY conv_id, turn)
 SELECT c.conv_id, c.turn,
        CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE coalesce(text, '') END AS text,
        coalesce(array_to_string({_tok('text')}, ' '), '') AS preprocessed_text,
-       CASE WHEN ok THEN predicted_class ELSE -1 END AS predicted_class,
-       {', '.join(f'CASE WHEN ok THEN {x}{i} END AS {x}{i}' for x in ('p', 'logit') for i in range(4))},
+       CASE WHEN ok THEN idx ELSE -1 END AS predicted_class,
+       e.lang AS class, round(e.prob, 6) AS p, round(e.logit, 4) AS logit,
        CASE WHEN text IS NULL THEN 'text is missing' WHEN NOT ok THEN 'text has no tokens' END AS error
 FROM (SELECT *, coalesce(len({_tok('text')}), 0) > 0 AS ok FROM conversations) c
-JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn"""
+JOIN b ON c.conv_id = b.conv_id AND c.turn = b.turn JOIN i ON i.lang = b.best
+LEFT JOIN e ON ok AND c.conv_id = e.conv_id AND c.turn = e.turn"""
 SQL["score_documents"] = _SCORE
 SQL["stream_score"] = _SCORE
 SQL["train_topic_model"] = f"""
 WITH {_bayes('SELECT * FROM documents')}
-SELECT token, {_class_columns('w', 'w', 6)} FROM w GROUP BY token"""
+SELECT token, lang AS class, round(w, 6) AS w FROM w"""
 SQL["evaluate_model"] = f"""
 WITH sp AS ({_where_split('0.2')}),
 {_bayes("SELECT * FROM sp WHERE part = 'train'")},
@@ -314,7 +306,7 @@ f AS (SELECT cls, 2.0 * sum(tp) / (2.0 * sum(tp) + sum(fp) + sum(fn)) AS f1
             UNION ALL SELECT pred, 0, (label <> pred)::INT, 0 FROM r) GROUP BY cls)
 SELECT round(avg(f1), 9) AS macro_f1 FROM f"""
 SQL["cross_entropy"] = f"""
-SELECT round(avg(ln(exp(l[1]::DOUBLE) + exp(l[2]::DOUBLE) + exp(l[3]::DOUBLE)) - l[label + 1]::DOUBLE), 9) AS loss
+SELECT round(avg(ln(list_sum(list_transform(l, lambda x: exp(x)))) - l[label + 1]), 9) AS loss
 FROM ({_SCORED})"""
 SQL["confusion_matrix"] = f"""
 SELECT label, pred::INTEGER AS pred, count(*) AS n FROM ({_SCORED}) GROUP BY label, pred"""

@@ -27,7 +27,6 @@ SITE = Layout(
 SITE_HOST = "https://site.example"
 SITE_ID = r"/[a-z]{2}/([0-9]+)"
 TOPIC = "lang"
-CLASSES = ["de", "en", "es", "fr"]
 
 
 def query(fn):
@@ -93,12 +92,12 @@ def _hubs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Logits and labels: the first three values of a vector, the label modulo three."""
+    """Logits and labels: all values of a vector, the label as one of its places."""
     return _embeddings(spark, sf).select(
         "vec_id",
-        F.slice("embedding", 1, 3).alias("logits"),
+        F.col("embedding").cast("array<double>").alias("logits"),
         F.col("label").alias("cluster"),
-        (F.col("label") % 3).alias("label"),
+        F.pmod("label", F.size("embedding")).alias("label"),
     ).withColumn("pred", arrays.argmax(F.col("logits")))
 
 
@@ -468,8 +467,8 @@ def prepared_dataset(spark, sf):
 @query
 def softmax(spark, sf):
     p = arrays.softmax(F.col("logits"))
-    return _scored(spark, sf).select("vec_id", p.alias("p")).select(
-        "vec_id", *[F.round(F.get("p", F.lit(i)), 6).alias(f"p{i}") for i in range(3)]
+    return _scored(spark, sf).select("vec_id", F.posexplode(p).alias("pos", "p")).select(
+        "vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("p", 6).alias("p")
     )
 
 
@@ -478,12 +477,15 @@ def argmax_class(spark, sf):
     return _scored(spark, sf).select("vec_id", "pred")
 
 
-def _response(scored: DataFrame, ids: list[str]) -> DataFrame:
-    return scored.select(
+def _response(scored: DataFrame, ids: list[str], classes: list) -> DataFrame:
+    """One row per text and class of the model; a text that could not be scored has one without class."""
+    each = F.posexplode_outer(F.arrays_zip("class_probabilities", "logits")).alias("_at", "_class")
+    name = F.get(F.array(*[F.lit(c) for c in classes]), F.col("_at"))
+    rows = scored.select(*ids, "text", "preprocessed_text", "predicted_class", "error", each)
+    return rows.select(
         *ids, "text", "preprocessed_text", F.col("predicted_class").cast("bigint").alias("predicted_class"),
-        *[F.round(F.get("class_probabilities", F.lit(i)), 6).alias(f"p{i}") for i in range(len(CLASSES))],
-        *[F.round(F.get("logits", F.lit(i)), 4).alias(f"logit{i}") for i in range(len(CLASSES))],
-        "error",
+        name.alias("class"), F.round("_class.class_probabilities", 6).alias("p"),
+        F.round("_class.logits", 4).alias("logit"), "error",
     )
 
 
@@ -491,15 +493,14 @@ def _response(scored: DataFrame, ids: list[str]) -> DataFrame:
 def score_documents(spark, sf):
     model = training.train(_documents(spark, sf), TOPIC)
     ids = ["conv_id", "turn"]
-    return _response(classify.score_documents(_talks(spark, sf), ids, model), ids)
+    return _response(classify.score_documents(_talks(spark, sf), ids, model), ids, model.classes)
 
 
 @query
 def train_topic_model(spark, sf):
     model = training.train(_documents(spark, sf), TOPIC)
-    return model.weights.select(
-        "token", *[F.round(F.get("w", F.lit(i)), 6).alias(f"w{i}") for i in range(len(CLASSES))]
-    )
+    rows = model.weights.select("token", F.posexplode("w").alias("_at", "w"))
+    return rows.select("token", model.class_name(F.col("_at")).alias("class"), F.round("w", 6).alias("w"))
 
 
 @query
@@ -723,4 +724,4 @@ def stream_score(spark, sf):
     ids = ["conv_id", "turn"]
     talks = jobs.file_stream(spark, f"{sf}/conversations.parquet", _talks(spark, sf).schema)
     jobs.score_stream(talks, ids, model, out, progress).awaitTermination()
-    return _response(spark.read.parquet(out), ids)
+    return _response(spark.read.parquet(out), ids, model.classes)

@@ -124,7 +124,10 @@ def append_to(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def score_stream(
     docs: DataFrame, ids: list[str], model: TokenBayes, path: str, checkpoint: str, keep: tuple = ()
 ) -> StreamingQuery:
-    """Score arriving texts; each micro-batch has its own folder, so a repeat replaces it."""
+    """Score arriving texts; each micro-batch has its own folder, so a repeat replaces it.
+
+    The model is measured and sent to the tasks once, with the first batch.
+    """
     def take(batch: DataFrame, batch_id: int) -> None:
         score_documents(batch, ids, model, keep=keep).write.mode("overwrite").parquet(
             f"{path}/batch={batch_id}"
