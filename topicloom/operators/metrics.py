@@ -68,15 +68,18 @@ def macro_f1(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFra
     return class_scores(df, label, pred).agg(F.avg("f1").alias("macro_f1"))
 
 
-def evaluation(df: DataFrame, label: str = "label", pred: str = "pred", logits: str = "logits"):
-    """Rows, accuracy, macro F1 and loss of a scored test set, scored once.
+def evaluation(
+    df: DataFrame, label: str = "label", pred: str = "pred", logits: str = "logits", by: list[str] | None = None
+) -> DataFrame:
+    """Rows, accuracy, macro F1 and loss of a scored test set (of every ``by``), scored once.
 
     Everything follows from one row per (true, predicted) class with its count
     and summed loss. Rows without a true class are left out.
     """
+    by = by or []
     cells = (
         df.where(F.col(label).isNotNull())
-        .groupBy(label, pred)
+        .groupBy(*by, label, pred)
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(log_loss(F.col(logits), F.col(label))).alias("loss"),
@@ -94,14 +97,14 @@ def evaluation(df: DataFrame, label: str = "label", pred: str = "pred", logits:
         none.alias("loss"),
     )
     per_class = (
-        cells.select(F.explode(F.array(as_true, as_pred)).alias("s"))
-        .select("s.*")
-        .groupBy("cls")
+        cells.select(*by, F.explode(F.array(as_true, as_pred)).alias("s"))
+        .select(*by, "s.*")
+        .groupBy(*by, "cls")
         .agg(*[F.sum(c).alias(c) for c in ("tp", "true", "pred", "loss")])
     )
     f1 = 2.0 * F.col("tp") / (F.col("true") + F.col("pred"))
     n = F.sum("true")
-    return per_class.agg(
+    return per_class.groupBy(*by).agg(
         n.alias("n"),
         F.try_divide(F.sum("tp").cast("double"), n).alias("accuracy"),
         F.avg(f1).alias("macro_f1"),

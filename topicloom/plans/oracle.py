@@ -295,6 +295,66 @@ f AS (SELECT cls, 2.0 * sum(tp) / (2.0 * sum(tp) + sum(fp) + sum(fn)) AS f1
             UNION ALL SELECT pred, 0, (truth <> pred)::INT, 0 FROM r) GROUP BY cls)
 SELECT count(*) AS n, round(avg((truth = pred)::INT), 6) AS accuracy,
        round((SELECT avg(f1) FROM f), 6) AS macro_f1, round(avg(loss), 6) AS loss FROM r"""
+SQL["model_choice_folds"] = f"""
+WITH d AS (SELECT doc_id, lang, ('0x' || left(md5('42|' || doc_id), 8))::BIGINT % 5 AS fold, {_tok('text')} AS t FROM documents),
+x AS (SELECT doc_id, lang, fold, unnest(t) AS token FROM d),
+cnt AS (SELECT token, lang, fold, count(*) AS n FROM x GROUP BY ALL),
+g AS (SELECT unnest([0.1, 0.5, 1.0, 2.0])::DOUBLE AS s), f AS (SELECT unnest(range(0, 5)) AS fold),
+cls AS (SELECT DISTINCT lang FROM d),
+m AS (SELECT f.fold, token, sum(n) AS n FROM cnt JOIN f ON cnt.fold <> f.fold GROUP BY ALL),
+v AS (SELECT fold, count(*) AS v FROM m GROUP BY fold),
+tc AS (SELECT f.fold, lang, sum(n) AS n FROM cnt JOIN f ON cnt.fold <> f.fold GROUP BY ALL),
+mc AS (SELECT f.fold, token, lang, sum(n) AS n FROM cnt JOIN f ON cnt.fold <> f.fold GROUP BY ALL),
+pr AS (SELECT f.fold, lang, count(*) AS n, sum(count(*)) OVER (PARTITION BY f.fold) AS every
+       FROM d JOIN f ON d.fold <> f.fold GROUP BY f.fold, lang),
+tf AS (SELECT doc_id, fold, token, count(*) AS k FROM x GROUP BY ALL),
+k AS (SELECT tf.* FROM tf JOIN m ON m.fold = tf.fold AND m.token = tf.token),
+s1 AS (SELECT k.doc_id, cls.lang, g.s,
+              sum(k.k * (ln(coalesce(mc.n, 0) + g.s) - ln(coalesce(tc.n, 0) + g.s * v.v))) AS x
+       FROM k JOIN cls ON TRUE JOIN g ON TRUE JOIN v ON v.fold = k.fold
+       LEFT JOIN tc ON tc.fold = k.fold AND tc.lang = cls.lang
+       LEFT JOIN mc ON mc.fold = k.fold AND mc.token = k.token AND mc.lang = cls.lang GROUP BY ALL),
+l AS (SELECT d.doc_id, d.lang AS truth, cls.lang, g.s,
+             ln(coalesce(pr.n, 0) + g.s) - ln((SELECT max(every) FROM pr p2 WHERE p2.fold = d.fold)
+               + g.s * (SELECT count(*) FROM cls)) + coalesce(s1.x, 0) AS logit
+      FROM d JOIN cls ON TRUE JOIN g ON TRUE LEFT JOIN pr ON pr.fold = d.fold AND pr.lang = cls.lang
+      LEFT JOIN s1 ON s1.doc_id = d.doc_id AND s1.lang = cls.lang AND s1.s = g.s),
+t AS (SELECT *, max(logit) OVER (PARTITION BY doc_id, s) AS top FROM l),
+r AS (SELECT s, doc_id, truth, min(lang) FILTER (logit = top) AS pred,
+             ln(sum(exp(logit - top))) + any_value(top) - max(logit) FILTER (lang = truth) AS loss
+      FROM t GROUP BY s, doc_id, truth),
+c AS (SELECT s, cls, 2.0 * sum(tp) / (2.0 * sum(tp) + sum(fp) + sum(fn)) AS f1
+      FROM (SELECT s, truth AS cls, (truth = pred)::INT AS tp, 0 AS fp, (truth <> pred)::INT AS fn FROM r
+            UNION ALL SELECT s, pred, 0, (truth <> pred)::INT, 0 FROM r) GROUP BY ALL)
+SELECT s AS smoothing, count(*) AS n, round(avg((truth = pred)::INT), 6) AS accuracy,
+       round((SELECT avg(f1) FROM c WHERE c.s = r.s), 6) AS macro_f1, round(avg(loss), 6) AS loss
+FROM r GROUP BY s"""
+SQL["multilabel_bayes"] = f"""
+WITH d AS (SELECT d.doc_id, {_tok('text')} AS t, ('0x' || left(md5('42|' || d.doc_id), 8))::BIGINT % 5 AS fold, quality, toxic
+           FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+y AS (SELECT doc_id, fold, t, 'quality' AS label, quality = 1 AS y FROM d
+      UNION ALL SELECT doc_id, fold, t, 'toxic', toxic = 1 FROM d),
+x AS (SELECT label, y, unnest(t) AS token FROM y WHERE fold <> 0),
+w AS (SELECT label, token, ln(count(*) FILTER (y) + 1.0) - ln(count(*) FILTER (NOT y) + 1.0) AS w FROM x GROUP BY ALL),
+z AS (SELECT label, ln(count(*) FILTER (y) + s.v) - ln(count(*) FILTER (NOT y) + s.v) AS base
+      FROM x, (SELECT count(DISTINCT token) AS v FROM x) s GROUP BY label, s.v),
+p AS (SELECT label, ln(count(*) FILTER (y) + 1.0) - ln(count(*) FILTER (NOT y) + 1.0) AS prior FROM y WHERE fold <> 0 GROUP BY label),
+q AS (SELECT doc_id, label, sum(w.w - z.base) AS x
+      FROM (SELECT doc_id, label, unnest(t) AS token FROM y WHERE fold = 0) u JOIN w USING (label, token) JOIN z USING (label)
+      GROUP BY ALL),
+r AS (SELECT y.label, y.y, p.prior + coalesce(q.x, 0) > 0 AS hit FROM y JOIN p USING (label)
+      LEFT JOIN q ON q.doc_id = y.doc_id AND q.label = y.label WHERE y.fold = 0),
+s AS (SELECT label, count(*) FILTER (y AND hit) AS tp, count(*) FILTER (hit AND NOT y) AS fp,
+             count(*) FILTER (y AND NOT hit) AS fn FROM r GROUP BY label)
+SELECT label, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision,
+       round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1
+FROM s WHERE tp + fp + fn > 0"""
+SQL["last_seen_value"] = """
+SELECT e.event_id, e.user_id, e.ts, v.event_id AS view_id, v.value AS view_value
+FROM events e ASOF LEFT JOIN (
+  SELECT user_id, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value
+  FROM events WHERE event_type = 'view' GROUP BY user_id, ts) v
+ON e.user_id = v.user_id AND e.ts >= v.ts"""
 SQL["best_runs_topk"] = """
 SELECT event_id AS run_id, value AS val_loss FROM events ORDER BY value, event_id LIMIT 5"""
 

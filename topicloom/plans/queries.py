@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import arrays, html, labels, text
 from topicloom.operators import (
-    approximate, classify, clean, extract, frontier, joins, metrics, ranking, similar, split, summary, vocab,
+    approximate, asof, classify, clean, extract, folds, frontier, joins, metrics, ranking, similar, split, summary, vocab,
 )
 from topicloom.plans import corpus, training
 from topicloom.runtime import cut, scratch, spread
@@ -534,6 +534,36 @@ def multilabel_baseline(spark, sf):
     return metrics.multilabel_f1(truth, pred, ["doc_id"])
 
 
+@query
+def model_choice_folds(spark, sf):
+    """Smoothing values of naive Bayes by the loss on folds that a model has not seen."""
+    found = folds.choose_smoothing(_documents(spark, sf), "doc_id", TOPIC, _tokens())
+    return found.select("smoothing", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "loss")])
+
+
+@query
+def multilabel_bayes(spark, sf):
+    """One naive Bayes per mark, fitted on four fifths of the marked texts and judged on the rest."""
+    docs = _documents(spark, sf).join(_marks(spark, sf), "doc_id").select(
+        "doc_id", "quality", "toxic", _tokens().alias("tokens"), folds.fold_of("doc_id").alias("fold")
+    )
+    train, test = cut(docs.where("fold <> 0")), cut(docs.where("fold = 0"))
+    model = folds.fit_label_bayes(train, F.array_compact(F.array(*_mark_names())), F.col("tokens"))
+    pred = folds.predict_labels(test, ["doc_id"], model, F.col("tokens"))
+    return _rates(metrics.multilabel_f1(_label_pairs(test), pred, ["doc_id"]), "label", "tp", "fp", "fn")
+
+
+@query
+def last_seen_value(spark, sf):
+    """For every event the latest view of its user up to then."""
+    events = _events(spark, sf)
+    views = events.where("event_type = 'view'").select("user_id", "ts", "event_id", "value")
+    return asof.asof_join(
+        events.select("event_id", "user_id", "ts"), views, "user_id", "ts", "event_id",
+        {"event_id": "view_id", "value": "view_value"},
+    )
+
+
 @query
 def best_runs_topk(spark, sf):
     runs = _events(spark, sf).select(
