@@ -13,7 +13,8 @@ Components are rounded to whole numbers first, so scores are exact.
 
 Defined results: vectors that are NULL or hold NULL or non-finite components
 take no part; vectors meet only others of their dimension; repeated ids are rows
-of their own and each may answer the other; equal scores go by id; an empty
+of their own and each may answer the other; equal scores go by id, rows without
+an id last; an empty
 table gives an empty table. Scores beyond 64 bits stop at the greatest number.
 """
 
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,17 +116,19 @@ def _survivors(q: np.ndarray, norm: float, least: float, v: np.ndarray, norms: n
 def _search(q: pa.Table, v: pa.Table, k: int) -> pa.Table:
     """The best ``k`` of a bucket for every query of a block that can still gain."""
     names = ["query", "query_id", "id", "score"]
-    out: list[list[np.ndarray]] = [[], [], [], []]
+    asked, held, scores = [], [], []
     if len(q) and len(v):
         dim = q.column("dim")[0].as_py()
         order = np.argsort(-v.column("norm").to_numpy(), kind="stable")
         norms = v.column("norm").to_numpy()[order]
         vm = _matrix(v.column("v").to_pylist(), dim)[order]
-        rows, ids = v.column("row").to_numpy()[order], v.column("id").to_numpy()[order]
+        rows = v.column("row").to_numpy()[order]
+        # For ties only; a row without an id comes last.
+        ids = pc.fill_null(v.column("id"), (1 << 63) - 1).to_numpy()[order]
         qm = _matrix(q.column("v").to_pylist(), dim)
         least = q.column("least").to_numpy()
         whole = _products(qm, vm) if np.isneginf(least).all() else None
-        for i, (row, qid) in enumerate(zip(q.column("row").to_pylist(), q.column("id").to_pylist(), strict=True)):
+        for i, row in enumerate(q.column("row").to_pylist()):
             at = np.arange(len(vm))
             if whole is None:
                 at = _survivors(qm[i], float(q.column("norm")[i].as_py()), float(least[i]), vm, norms)
@@ -133,11 +137,12 @@ def _search(q: pa.Table, v: pa.Table, k: int) -> pa.Table:
             hit = score >= least[i]
             at, score = at[hit], score[hit]
             top = np.lexsort((ids[at], -score))[:k]
-            out[0].append(np.full(len(top), row))
-            out[1].append(np.full(len(top), qid))
-            out[2].append(ids[at[top]])
-            out[3].append(score[top])
-    return pa.table({n: pa.array(np.concatenate(c) if c else [], pa.int64()) for n, c in zip(names, out, strict=True)})
+            asked.append(np.full(len(top), i))
+            held.append(order[at[top]])
+            scores.append(score[top])
+    asked, held, scores = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (asked, held, scores))
+    q, v = q.take(pa.array(asked, pa.int64())), v.take(pa.array(held, pa.int64()))
+    return pa.table([q.column("row"), q.column("id"), v.column("id"), pa.array(scores, pa.int64())], names)
 
 
 def top_k(rows: DataFrame, vec_id: str, vector: str, is_query: Column, k: int, scale: float = 64.0) -> DataFrame:
@@ -170,6 +175,6 @@ def top_k(rows: DataFrame, vec_id: str, vector: str, is_query: Column, k: int, s
     kth = kth.where(F.col("at") == k).select(F.col("query").alias("row"), F.col("score").cast("double").alias("least"))
     asking = queries.join(kth, "row", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
     found = first.unionByName(met(asking, F.col("level") > 0))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
