@@ -14,8 +14,8 @@ Components are rounded to whole numbers first, so scores are exact.
 Defined results: vectors that are NULL or hold NULL or non-finite components
 take no part; vectors meet only others of their dimension; repeated ids are rows
 of their own and each may answer the other; equal scores go by id, rows without
-an id last; an empty
-table gives an empty table. Scores beyond 64 bits stop at the greatest number.
+an id last; an empty table gives an empty table. Scores beyond 64 bits stop at
+the greatest number.
 """
 
 from __future__ import annotations
@@ -141,8 +141,9 @@ def _search(q: pa.Table, v: pa.Table, k: int) -> pa.Table:
             held.append(order[at[top]])
             scores.append(score[top])
     asked, held, scores = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (asked, held, scores))
-    q, v = q.take(pa.array(asked, pa.int64())), v.take(pa.array(held, pa.int64()))
-    return pa.table([q.column("row"), q.column("id"), v.column("id"), pa.array(scores, pa.int64())], names)
+    asked, held = pa.array(asked, pa.int64()), pa.array(held, pa.int64())
+    found = [q.column("row").take(asked), q.column("id").take(asked), v.column("id").take(held)]
+    return pa.table([*found, pa.array(scores, pa.int64())], names)
 
 
 def top_k(rows: DataFrame, vec_id: str, vector: str, is_query: Column, k: int, scale: float = 64.0) -> DataFrame:
