@@ -245,6 +245,8 @@ def test_nested_matches_keep_their_whole_text(spark):
         "<div><span class='x h'>a</div>b": ["a"],
         "<span class=h title='a>b'>1 < 2 &amp; 3</span>": ["1 < 2 & 3"],
         "<SPAN CLASS=\"h\">x<br/>y": ["xy"],
+        "<span class=h>a &amp; b</span><p><span class=h></SPAN >": ["a & b", ""],
+        "<span class=h />b</span><span class=h>c</span>": ["", "c"],
         "<b>no</b>": [], "": [], None: None,
     }
     df = spark.createDataFrame([(t,) for t in cases], "t string")

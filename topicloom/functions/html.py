@@ -302,10 +302,19 @@ def element_texts(page: Column, *sels: Selector) -> Column:
 
         return let(texts, of)
 
+    every = let(pieces(page), found)
+    last = open_tag(sels[-1])
+    if len(sels) == 1 and sels[0].tag.isalnum():
+        # Where each is ended by the very next tag, its text is what lies between.
+        alone = rf"{last}(?<!/>)([^<]*)</(?i:{sels[0].tag})\s*>"
+        every = let(
+            F.regexp_extract_all(page, F.lit(alone), F.lit(1)),
+            lambda ts: F.when(
+                F.size(ts) == F.regexp_count(page, F.lit(last)), F.transform(ts, decode_entities)
+            ).otherwise(let(pieces(page), found)),
+        )
     none = F.array().cast("array<string>")
-    return F.when(F.rlike(page, F.lit(open_tag(sels[-1]))), let(pieces(page), found)).otherwise(
-        F.when(page.isNotNull(), none)
-    )
+    return F.when(F.rlike(page, F.lit(last)), every).otherwise(F.when(page.isNotNull(), none))
 
 
 def _attr_of(tag_text: Column, attr: str) -> Column:
