@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import ref
+from topicloom.llm.common import fresh, ref
 from topicloom.llm.words import GAP, WORD
 from topicloom.runtime import cut, small_side
 
@@ -90,7 +90,15 @@ def mix(
     """``rows`` with ``source_size``, ``target`` and ``taken``, the size taken of each row.
 
     ``rows`` has to be a written table without long columns; it is read twice.
+    Its other columns may have any names but those three, which are refused.
     """
+    names = rows.columns
+    made = [c for c in names if c.lower() in ("source_size", "target", "taken")]
+    if made:
+        raise ValueError(f"there is a column {made[0]} already")
+    # Under names of their own the columns cannot meet those that are made here.
+    rows = rows.toDF(*[f"in_{i}" for i in range(len(names))])
+    row_id, source, size = (f"in_{names.index(c)}" for c in (row_id, source, size))
     targets = cut(source_targets(rows, source, size, weights, share, epochs))
     ranges = F.greatest(F.ceil(F.col("n_rows") / RANGE_ROWS), F.lit(1)).cast("long")
     side, _ = small_side(targets.withColumn("n_ranges", ranges).withColumnRenamed("source", "_source"))
@@ -114,7 +122,7 @@ def mix(
     rest = budget - whole * F.col("source_size")
     last = F.least(F.greatest(rest - F.col("_first") - F.col("_before"), F.lit(0)), ref(size))
     return placed.select(
-        *[ref(c) for c in rows.columns],
+        *[ref(c).alias(name) for c, name in zip(rows.columns, names)],
         "source_size",
         "target",
         (whole * ref(size) + last).cast("long").alias("taken"),
@@ -133,6 +141,7 @@ def copies(rows: DataFrame, text: str, size: str, taken: str) -> DataFrame:
     whole = F.floor(t / s).cast("int")
     again = F.array_repeat(F.lit(None).cast("long"), whole)
     part = F.when(t % s > 0, F.array(t % s)).otherwise(F.array().cast("array<bigint>"))
-    out = rows.where((s > 0) & (t > 0)).withColumn("_part", F.explode(F.concat(again, part)))
-    kept = F.when(F.col("_part").isNull(), ref(text)).otherwise(first_words(ref(text), F.col("_part")))
-    return out.withColumn(text, kept).drop("_part")
+    p = fresh(rows, "_part")
+    out = rows.where((s > 0) & (t > 0)).withColumn(p, F.explode(F.concat(again, part)))
+    kept = F.when(F.col(p).isNull(), ref(text)).otherwise(first_words(ref(text), F.col(p)))
+    return out.withColumn(text, kept).drop(p)
