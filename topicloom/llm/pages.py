@@ -295,7 +295,9 @@ def main_text(page: str | None, sigma: float = SIGMA, threshold: float = THRESHO
 
 
 def extract_main_text(pages: DataFrame, page: str, text: str) -> DataFrame:
-    """``pages`` with the main text of the HTML column ``page`` as ``text``."""
+    """``pages`` with the main text of the HTML column ``page`` as ``text``, a name that no column may have."""
+    if text.lower() in (c.lower() for c in pages.columns):
+        raise ValueError(f"there is a column {text} already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
