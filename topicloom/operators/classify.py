@@ -16,10 +16,9 @@ from pyspark.sql import types as T
 
 from topicloom.functions.arrays import argmax, softmax
 from topicloom.functions.text import normalize, preview, tokenize
-from topicloom.operators.joins import lookup_join
-from topicloom.operators.lookup import send, sum_weights
+from topicloom.operators.joins import frequent_rows, rest_values
+from topicloom.operators.lookup import add_weights, send, sum_weights
 from topicloom.operators.metrics import evaluation
-from topicloom.operators.vocab import _token_rows_outer, keyed_tokens
 from topicloom.runtime import BROADCAST_BYTES, cut, measure
 
 HASH_FEATURES = 1 << 18
@@ -79,28 +78,24 @@ class TokenBayes:
         """``(ids, logits)``: log prior plus the summed token weights.
 
         Unknown tokens add nothing. Weights that fit are sent to the tasks and
-        every text is scored where it lies, once for all uses of the model;
-        larger ones are joined token by
-        token, with sums started in the map task. Either way a repeated or
-        missing id is a row like any other.
+        every text is scored where it lies, once for all uses of the model; of
+        larger ones those of the most frequent tokens are sent, and only what else
+        a text holds is joined. Either way a repeated or missing id is a row like
+        any other.
         """
         if self._held is None and self.fits(limit):
             self._held = send(self.weights, "token", "w")
         if self._held is not None and limit:
             return sum_weights(docs, ids, tokens, self._held, self.priors, "logits")
-        keyed = keyed_tokens(docs, ids, tokens)
-        rows = _token_rows_outer(keyed, ["_row"], F.col("_tokens"))
-        found = lookup_join(rows, self.weights, "token", limit)
-        sums = found.groupBy("_row").agg(
-            *[
-                F.coalesce(F.sum(F.get("w", F.lit(i))), F.lit(0.0)).alias(f"_s{i}")
-                for i in range(len(self.classes))
-            ]
-        )
-        return keyed.select("_row", *ids).join(sums, "_row").select(
-            *ids,
-            F.array(*[F.col(f"_s{i}") + F.lit(p) for i, p in enumerate(self.priors)]).alias("logits"),
-        )
+        # The likelier a token is in some class, the more often it occurs.
+        top = F.array_max("w")
+        low = self.weights.agg(F.min(top)).first()[0] or 0.0
+        head = frequent_rows(self.weights.select("token", "w"), F.exp(top - F.lit(low)), limit=limit)
+        keyed = docs.select(*ids, tokens.alias("_tokens"), F.monotonically_increasing_id().alias("_row"))
+        sent = send(head, "token", "w")
+        sums = cut(sum_weights(keyed, ["_row", *ids], F.col("_tokens"), sent, self.priors, "logits", rest=True))
+        found = rest_values(sums, self.weights, "w", limit=limit)
+        return add_weights(found, ids, "logits", len(self.classes))
 
 
 def fit_token_bayes(

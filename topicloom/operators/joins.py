@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.runtime import BROADCAST_BYTES, cut, measure
@@ -31,6 +31,30 @@ def _frequent(counts: DataFrame, room: float, hot_share: float) -> DataFrame:
     return counts.where(grade >= F.lit(lowest)).drop("n")
 
 
+def frequent_rows(
+    table: DataFrame, n: Column, on: str = "token", limit: int = BROADCAST_BYTES, hot_share: float = 0.001
+) -> DataFrame:
+    """The rows of ``table`` with the greatest ``n``: as many as ``limit`` bytes take, and every hot one; written once."""
+    rows, size = measure(table)
+    room = limit * rows / size if size else 0
+    return cut(_frequent(table.where(F.col(on).isNotNull()).withColumn("n", n), room, hot_share))
+
+
+def rest_values(
+    rows: DataFrame, dim: DataFrame, value: str, on: str = "token", limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``rows`` (written, with a key ``_row``) with ``_got``: the ``value`` of every key in its list ``_rest``.
+
+    Only the listed keys are exchanged with ``dim``, and what was found comes back
+    as one list per row; a key that ``dim`` lacks has NULL there.
+    """
+    keys = rows.select("_row", F.posexplode("_rest").alias("_at", on))
+    found = lookup_join(keys, dim.select(on, value), on, limit)
+    got = found.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", value))).alias("_got"))
+    got = got.select("_row", F.transform("_got", lambda x: x[value]).alias("_got"))
+    return rows.join(got, "_row", "left").drop("_rest")
+
+
 def lookup_join(
     facts: DataFrame,
     dim: DataFrame,

@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import sentences, tokenize
-from topicloom.operators.joins import lookup_join
-from topicloom.operators.lookup import best_sentences, hashed_sums, send
-from topicloom.operators.ranking import top_per_group
-from topicloom.operators.vocab import keyed_tokens
+from topicloom.operators.joins import frequent_rows, rest_values
+from topicloom.operators.lookup import add_hashed, best_sentences, best_with_rest, hashed_sums, send
 from topicloom.runtime import BROADCAST_BYTES, cut, measure
 
 
@@ -38,7 +36,8 @@ def doc_embedding(
     vocabulary and documents embedded at different times are comparable. A
     document without tokens gets the zero vector; a repeated or missing id is a
     document of its own. A table of token weights below ``limit`` bytes is sent to
-    the tasks and nothing is exchanged; a larger one is joined token by token.
+    the tasks and nothing is exchanged; of a larger one the most frequent tokens
+    are, and only the other tokens of a document are joined.
     """
     weights = cut(idf if idf is not None else idf_table(docs, tokens)).select("token", "idf")
     # md5 is taken once per distinct token, on the lookup side
@@ -50,22 +49,17 @@ def doc_embedding(
     )
     if measure(weights)[1] <= limit:
         return hashed_sums(docs, [id_col], tokens, send(weights, "token", "at", "w"), dim, "embedding")
-    keyed = keyed_tokens(docs, [id_col], tokens)
-    rows = keyed.select("_row", F.explode_outer("_tokens").alias("token"))
-    rows = rows.withColumn("token", F.coalesce("token", F.lit("")))
-    cells = lookup_join(rows, weights, "token", limit).groupBy("_row", "at").agg(F.sum("w").alias("v"))
-    vectors = cells.groupBy("_row").agg(
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "v")))
-        ).alias("m"),
-        F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"),
-    )
-    scaled = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), F.col("norm")), F.lit(0.0)),
-    )
-    vectors = vectors.select("_row", scaled.alias("embedding"))
-    return keyed.select("_row", id_col).join(vectors, "_row").select(id_col, "embedding")
+    sent = send(_frequent_weights(weights, F.abs("w"), limit), "token", "at", "w")
+    keyed = docs.select(id_col, tokens.alias("_tokens"), F.monotonically_increasing_id().alias("_row"))
+    sums = cut(hashed_sums(keyed, ["_row", id_col], F.col("_tokens"), sent, dim, "embedding", rest=True))
+    found = rest_values(sums, weights.select("token", F.struct("at", "w").alias("v")), "v", limit=limit)
+    return add_hashed(found, [id_col], "embedding", dim)
+
+
+def _frequent_weights(weights: DataFrame, idf: Column, limit: int) -> DataFrame:
+    """The rows of the tokens in the most documents, which are those with the least IDF."""
+    top = weights.agg(F.max(idf)).first()[0] or 0.0
+    return frequent_rows(weights, F.exp(F.lit(top) - idf), limit=limit)
 
 
 def extractive_summary(
@@ -79,9 +73,9 @@ def extractive_summary(
     """``(id, summary)``: the ``k`` sentences with the highest mean IDF, in text order.
 
     An IDF table below ``limit`` bytes is sent to the tasks, and sentences are
-    scored and picked where the text lies. With a larger one only tokens and
-    places are exchanged, by a key of the row. A repeated or missing id is a
-    document of its own.
+    scored and picked where the text lies. Of a larger one the most frequent tokens
+    are sent, and the other tokens of a document are joined by a key of the row. A
+    repeated or missing id is a document of its own.
     """
     weights = cut(idf if idf is not None else idf_table(docs, tokenize(F.col(text)))).select("token", "idf")
     split = docs.select(id_col, F.coalesce(sentences(F.col(text)), F.array().cast("array<string>")).alias("_parts"))
@@ -89,17 +83,12 @@ def extractive_summary(
         words = F.transform("_parts", lambda s: tokenize(s))
         sent = send(weights, "token", "idf")
         return _joined(best_sentences(split, [id_col, "_parts"], words, sent, k, "_at"), id_col)
-    keyed = cut(split.withColumn("_row", F.monotonically_increasing_id()))
-    parts = keyed.select("_row", F.posexplode("_parts").alias("sent", "sentence"))
-    rows = parts.select("_row", "sent", F.explode(tokenize(F.col("sentence"))).alias("token"))
-    scored = (
-        lookup_join(rows, weights, "token", limit)
-        .groupBy("_row", "sent")
-        .agg(F.round(F.avg("idf"), 6).alias("score"))
-    )
-    best = top_per_group(scored.where("score IS NOT NULL"), ["_row"], [F.col("score").desc(), F.col("sent")], k)
-    picked = best.groupBy("_row").agg(F.array_sort(F.collect_list("sent")).alias("_at"))
-    return _joined(keyed.join(picked, "_row", "left"), id_col)
+    sent = send(_frequent_weights(weights, F.col("idf"), limit), "token", "idf")
+    keyed = split.withColumn("_row", F.monotonically_increasing_id())
+    words = F.transform("_parts", lambda s: tokenize(s))
+    parts = cut(best_sentences(keyed, ["_row", id_col, "_parts"], words, sent, k, "_at", rest=True))
+    found = rest_values(parts, weights, "idf", limit=limit)
+    return _joined(best_with_rest(found, [id_col, "_parts"], k, "_at"), id_col)
 
 
 def _joined(picked: DataFrame, id_col: str) -> DataFrame:

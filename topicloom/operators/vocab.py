@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.operators.joins import lookup_join
-from topicloom.operators.lookup import look_up
+from topicloom.operators.joins import frequent_rows, lookup_join, rest_values
+from topicloom.operators.lookup import look_up, look_up_frequent, take_rest
 from topicloom.operators.ranking import dense_index
 from topicloom.runtime import BROADCAST_BYTES, cut, measure
 from topicloom.settings import UNK, UNK_ID
@@ -17,12 +17,6 @@ def token_rows(docs: DataFrame, ids: list[str], tokens: Column) -> DataFrame:
     return docs.select(*ids, F.posexplode(tokens).alias("pos", "token"))
 
 
-def _token_rows_outer(docs: DataFrame, ids: list[str], tokens: Column) -> DataFrame:
-    """As ``token_rows``; a document without tokens gives one row with ``pos`` NULL."""
-    rows = docs.select(*ids, F.posexplode_outer(tokens).alias("pos", "token"))
-    return rows.withColumn("token", F.coalesce("token", F.lit("")))
-
-
 def keyed_tokens(docs: DataFrame, keep: list[str], tokens: Column) -> DataFrame:
     """``keep``, ``_tokens`` and a key of its own in ``_row`` for every row, written once.
 
@@ -114,9 +108,9 @@ def encode(
     with an empty sequence and an unknown rate of NULL.
 
     A vocabulary measured below ``limit`` bytes is sent to the tasks, and every
-    document is encoded where it lies. A larger one is joined token by token;
-    ``counted`` tells that it was counted over these documents, which saves
-    counting them again.
+    document is encoded where it lies. Of a larger one its most frequent tokens
+    are sent, and only what else a document holds is joined; ``counted`` tells that
+    ``n`` was counted over these documents, which is taken for their frequency if it is there.
     """
     if measure(vocab.select("token", "idx"))[1] <= limit:
         coded = look_up(docs, ids, tokens, vocab, "_idx")
@@ -133,24 +127,19 @@ def encode(
 
 
 def _encode_by_join(docs, ids, tokens, vocab, limit, counted) -> DataFrame:
-    """``(ids, _idx)`` by joining tokens to the vocabulary.
+    """``(ids, _idx)``: the most frequent tokens by a table sent to the tasks, the rest of a row by a join.
 
-    Tokens of a document are gathered in the map task before the one shuffle
-    by the rows' own key, which no id has to be.
+    Only the different tokens a row has beyond the sent ones are exchanged, by the
+    rows' own key, which no id has to be.
     """
-    keyed = keyed_tokens(docs, ids, tokens)
-    rows = _token_rows_outer(keyed, ["_row"], F.col("_tokens"))
-    counts = None
-    if counted:
-        # the mark of documents without tokens may be hot: count it as such
-        blank = vocab.agg(F.lit("").alias("token"), F.greatest(F.sum("n"), F.lit(1)).alias("n"))
-        counts = vocab.select("token", "n").unionByName(blank)
-    found = lookup_join(rows, vocab.select("token", "idx"), "token", limit, counts=counts)
-    at = F.when(F.col("pos").isNotNull(), F.struct("pos", "idx"))
-    gathered = found.groupBy("_row").agg(F.array_sort(F.collect_list(at)).alias("_at"))
-    return keyed.select("_row", *ids).join(gathered, "_row").select(
-        *ids, F.transform("_at", lambda x: x["idx"]).alias("_idx")
-    )
+    ranked = vocab
+    if not counted and "n" not in vocab.columns:
+        ranked = vocab.join(token_counts(docs.select(F.explode(tokens).alias("token"))), "token")
+    head = frequent_rows(ranked.select("token", "idx", "n"), F.col("n"), limit=limit)
+    keyed = docs.select(*ids, tokens.alias("_tokens"), F.monotonically_increasing_id().alias("_row"))
+    coded = cut(look_up_frequent(keyed, ["_row", *ids], F.col("_tokens"), head, "_idx"))
+    found = rest_values(coded, vocab, "idx", limit=limit)
+    return found.select(*ids, take_rest(F.col("_idx"), F.col("_got")).alias("_idx"))
 
 
 def label_index(df: DataFrame, col: str) -> DataFrame:
