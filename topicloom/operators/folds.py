@@ -82,7 +82,9 @@ def choose_smoothing(
             for s in smoothing
             for c in range(width)
         ]
-        seen = by_token.where(sum((less(f, c) for c in range(width)), zero) > 0)
+        # A token that only this fold has, or that it lacks, is never looked up for a text of it.
+        own = sum((F.get("n", F.lit(f * width + c)) for c in range(width)), zero)
+        seen = by_token.where((sum((less(f, c) for c in range(width)), zero) > 0) & (own > 0))
         part = seen.select(F.concat(F.lit(f"{f}:"), "token").alias("token"), F.array(*w).alias("w"))
         weights = part if weights is None else weights.unionByName(part)
     model = TokenBayes(list(range(len(smoothing) * width)), [0.0] * (len(smoothing) * width), cut(weights))
