@@ -21,6 +21,15 @@ dealt by size and hash into blocks of bounded weight, each two blocks that can
 hold similar sizes meet in a task of their own, and only links that connect
 something new within the task come out of it.
 
+Sets are long, so they travel last. A set's sketch is the parity of its n-grams
+by some low bits of their hashes, about a bit for each; two sketches differ in no
+more bits than their sets in n-grams, so a pair that differs in too many is not
+similar, whatever its sets hold. Pairs and blocks are judged by sketches first,
+and only what remains is verified by sets. Before blocks meet, the documents of a
+crowded n-gram are compared with the first of their size; those that links have
+brought together by then need not meet again. Pairs are made and verified in
+rounds of bounded size, each of which leaves only its links on disk.
+
 Defined results: a NULL text is empty; repeated rows are copies; rows with a
 NULL id come after all others in their group; an empty table gives an empty
 table; other columns are not read.
@@ -33,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import ref
@@ -51,10 +60,14 @@ PAIR_LIMIT = 64
 TAIL = 1 << 17
 COUNTED = 1 << 22
 REPORTED = 1 << 15
+#: Rows of pairs that are made in a round, at least; and n-grams of pairs that are verified in one.
+PAIR_ROWS = 1 << 25
+PAIR_WEIGHT = 1 << 27
 #: Weight of a block: n-grams, and this many more for each document.
 BLOCK_WEIGHT, DOC_WEIGHT = 200_000, 64
 _STEP = 1.05
 _SLICE = 4096
+_TILE_WORDS = 1 << 20
 
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -74,19 +87,32 @@ def _least(size: int, num: int, den: int) -> int:
     return -(-num * size // den)
 
 
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """The parity of a set's n-grams by their low bits: 64 bits at least, and one for every n-gram at least."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set in fewer words, which are to be unsigned: numpy counts the bits of absolute values."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
     for words in rows_of_words(batch.column("text"), lower=True):
         yield shingle_set(words, n)
 
 
 def profiles(rows: DataFrame, n: int) -> DataFrame:
-    """Of every ``row, text``: the size and name of its set; and n-grams that recur in a task. Written.
+    """Of every ``row, text``: the size, name and sketch of its set; and n-grams that recur in a task. Written.
 
-    ``kind`` 0 is a document (``row, n, a, b``), 1 an n-gram (``a``) with the
+    ``kind`` 0 is a document (``row, n, a, b, sketch``), 1 an n-gram (``a``) with the
     number of a task's documents that have it (``n``).
     """
 
-    names = ["kind", "row", "n", "a", "b"]
+    names = ["kind", "row", "n", "a", "b", "sketch"]
+    words = pa.list_(pa.int64())
 
     def often(held: list[np.ndarray]) -> pa.RecordBatch:
         tokens, count = np.unique(np.concatenate(held), return_counts=True)
@@ -94,25 +120,27 @@ def profiles(rows: DataFrame, n: int) -> DataFrame:
         top = np.argsort(-count, kind="stable")[:REPORTED]
         none = np.zeros(len(top), np.int64)
         cols = [none + 1, none - 1, count[top], tokens[top].view(np.int64), none]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+        cols = [*[pa.array(c, pa.int64()) for c in cols], pa.nulls(len(top), words)]
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for batch in sliced(batches):
-            out = []
+            out, sketches = [], []
             for row, tokens in zip(batch.column("row").to_pylist(), _sets(batch, n), strict=True):
                 held.append(tokens)
                 total += len(tokens)
                 out.append((0, row, len(tokens), *(_name(tokens) if len(tokens) else (row, 0))))
-            cols = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+                sketches.append(_sketch(tokens))
+            cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sketches, words)], names=names)
             if total > COUNTED:
                 yield often(held)
                 held, total = [], 0
         if held:
             yield often(held)
 
-    return cut(rows.select("row", "text").mapInArrow(run, "kind long, row long, n long, a long, b long"))
+    return cut(rows.select("row", "text").mapInArrow(run, "kind long, row long, n long, a long, b long, sketch array<long>"))
 
 
 def _tail(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -190,9 +218,27 @@ def _similar(both: Column, x: Column, y: Column, num: int, den: int) -> Column:
     return den * both >= num * (x + y - both)
 
 
-def _candidate_pairs(light: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that share as many prefix n-grams as the larger document asks for: ``x, y``."""
-    costs = light.groupBy("row").agg(
+def _part(col: str, parts: int, part: int) -> Column:
+    """The rows of one of so many rounds."""
+    return F.pmod(F.xxhash64(col, F.lit(parts)), F.lit(parts)) == part
+
+
+def _candidate_pairs(light: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that share as many prefix n-grams as the larger document asks for, and may be similar: ``x, y, n``. Written."""
+    light = light.select("token", "row", "n", "level", "df")
+    most = light.agg(F.sum(F.col("df") - 1), F.count(F.lit(1))).first()
+    parts = max(1, -(-(most[0] or 0) // (2 * max(PAIR_ROWS, 4 * most[1]))))
+    out = None
+    for part in range(parts):
+        pairs = _near(_shared_pairs(light, num, den, parts, part), sketches, num, den)
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def _shared_pairs(light: DataFrame, num: int, den: int, parts: int, part: int) -> DataFrame:
+    """The pairs of one round."""
+    probe = light.where(_part("row", parts, part)) if parts > 1 else light
+    costs = probe.groupBy("row").agg(
         F.first("n").alias("size"),
         *[
             F.sum(F.when(F.col("level") <= m, F.col("df") - 1).otherwise(0)).alias(f"c{m}")
@@ -208,7 +254,7 @@ def _candidate_pairs(light: DataFrame, num: int, den: int) -> DataFrame:
         for m in range(1, MATCHES + 1)
     ]
     asked = costs.select("row", F.array_min(F.array_compact(F.array(*options)))["asked"].alias("asked"))
-    probe = light.join(asked, "row").where(F.col("level") <= F.col("asked"))
+    probe = probe.join(asked, "row").where(F.col("level") <= F.col("asked"))
     probe = probe.select("token", F.col("row").alias("x"), F.col("n").alias("nx"), "asked")
     index = light.select("token", F.col("row").alias("y"), F.col("n").alias("ny"), "level")
     before = F.struct("ny", "y") < F.struct("nx", "x")
@@ -219,10 +265,64 @@ def _candidate_pairs(light: DataFrame, num: int, den: int) -> DataFrame:
     return shared.where(F.col("shared") >= F.col("asked")).select("x", "y")
 
 
+def _near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sketches allow that they are similar: ``x, y, n``, with the size of both. Written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("nx").to_numpy() + batch.column("ny").to_numpy()
+            sides = [batch.column(c) for c in ("sx", "sy")]
+            (vx, ax), (vy, ay) = ((c.values.to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in sides)
+            kept = np.zeros(batch.num_rows, bool)
+            for i, size in enumerate(sizes):
+                x, y = vx[ax[i] : ax[i + 1]], vy[ay[i] : ay[i + 1]]
+                words = min(len(x), len(y))
+                differ = int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum())
+                kept[i] = (den + num) * differ <= (den - num) * size
+            got = batch.filter(pa.array(kept))
+            yield pa.RecordBatch.from_arrays(
+                [got.column("x"), got.column("y"), pa.array(sizes[kept])], names=["x", "y", "n"]
+            )
+
+    x, y = (sketches.select(F.col("row").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("s" + c)) for c in "xy")
+    both = pairs.join(x, "x").join(y, "y").select("x", "y", "nx", "ny", "sx", "sy")
+    return cut(both.mapInArrow(run, "x long, y long, n long"))
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs whose sets are similar: ``x, y``. Written in rounds, so that few sets lie on disk at a time."""
+    weight = pairs.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-weight // PAIR_WEIGHT))
+    out = None
+    for part in range(parts):
+        here = pairs.where(_part("x", parts, part)).select("x", "y")
+        wanted = here.select(F.col("x").alias("row")).unionByName(here.select(F.col("y").alias("row")))
+        sets = _sets_of(rows, wanted.distinct(), n)
+        one = sets.select(F.col("row").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
+        two = sets.select(F.col("row").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
+        both = F.size(F.array_intersect("tx", "ty"))
+        near = here.join(one, "x").join(two, "y").where(_similar(both, F.col("nx"), F.col("ny"), num, den))
+        near = cut(near.select("x", "y"))
+        discard(sets)
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+def _by_head(dense: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Documents of crowded n-grams with the first of their size there, if they may be similar: ``x, y, n``. Written."""
+    head = F.min("row").over(Window.partitionBy("token", _band()))
+    pairs = dense.select("row", "n", "token").withColumn("x", head).where("x <> row")
+    return _near(pairs.select("x", F.col("row").alias("y")).distinct(), sketches, num, den)
+
+
+def _band() -> Column:
+    """The band of sizes that a document of ``n`` n-grams is in."""
+    return F.floor(F.log(F.col("n").cast("double")) / float(np.log(_STEP))).cast("int")
+
+
 def _cells(dense: DataFrame, num: int, den: int) -> DataFrame:
     """``cell, side, row`` for the documents of crowded n-grams: every two blocks that can match."""
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(_STEP))).cast("int")
-    dense = dense.select("token", "row", "n", step.alias("band"))
+    dense = dense.select("token", "row", "n", _band().alias("band"))
     reach = int(np.ceil(np.log(den / num) / np.log(_STEP))) + 1
     bands = dense.groupBy("token", "band").agg(F.sum(F.col("n") + DOC_WEIGHT).alias("weight"))
     bands = bands.withColumn("parts", F.ceil(F.col("weight") / BLOCK_WEIGHT).cast("int"))
@@ -301,6 +401,36 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out
 
 
+def _near_in_cells(cells: DataFrame, sketches: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """``cell, side, row, n`` of the rows that may be similar to one across, but are not linked to it yet. Written."""
+
+    def run(group: pa.Table) -> pa.Table:
+        side, size = group.column("side").to_numpy(), group.column("n").to_numpy()
+        root = group.column("root").to_numpy()
+        sketch = group.column("sketch").combine_chunks()
+        values, at = sketch.values.to_numpy().view(np.uint64), sketch.offsets.to_numpy()
+        words = int(np.diff(at).min())
+        flat = np.array([_folded(values[at[i] : at[i + 1]], words) for i in range(len(side))])
+        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(r):
+            r = l
+        near = np.zeros(len(side), bool)
+        step = max(1, _TILE_WORDS // max(1, len(r) * words))
+        for first in range(0, len(l), step):
+            part = l[first : first + step]
+            differ = np.bitwise_count(flat[part][:, None, :] ^ flat[r][None, :, :]).sum(axis=2, dtype=np.int64)
+            may = (den + num) * differ <= (den - num) * (size[part][:, None] + size[r][None, :])
+            may &= root[part][:, None] != root[r][None, :]
+            near[part[may.any(axis=1)]] = True
+            near[r[may.any(axis=0)]] = True
+        return group.select(["cell", "side", "row", "n"]).filter(pa.array(near))
+
+    rows = cells.join(sketches.select("row", "n", "sketch"), "row")
+    rows = rows.join(groups.select(F.col("node").alias("row"), "root"), "row", "left")
+    rows = rows.withColumn("root", F.coalesce("root", "row"))
+    return cut(rows.groupBy("cell").applyInArrow(run, "cell long, side int, row long, n long"))
+
+
 def _links_in_cells(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links among the documents of each cell, as many as connect them."""
 
@@ -337,18 +467,27 @@ def links(rows: DataFrame, reps: DataFrame, profile: DataFrame, n: int, num: int
     df, _ = small_side(cut(df))
     met = cut(index.join(df, "token"))
     discard(index)
-    pairs = cut(_candidate_pairs(met.where(F.col("df") <= PAIR_LIMIT), num, den))
+    sketches = profile.where("kind = 0").select("row", "n", "sketch")
+    pairs = _candidate_pairs(met.where(F.col("df") <= PAIR_LIMIT), sketches, num, den)
     dense = met.where(F.col("df") > PAIR_LIMIT)
+    crowded = bool(dense.take(1))
+    if crowded:
+        pairs = cut(pairs.unionByName(_by_head(dense, sketches, num, den)).distinct())
+    found = _verified(rows, pairs, n, num, den)
+    if not crowded:
+        return found
     cells = cut(_cells(dense, num, den))
-    wanted = pairs.select(F.col("x").alias("row")).unionByName(pairs.select(F.col("y").alias("row")))
-    sets = _sets_of(rows, wanted.unionByName(cells.select("row")).distinct(), n)
-    one = sets.select(F.col("row").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
-    two = sets.select(F.col("row").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
-    both = F.size(F.array_intersect("tx", "ty"))
-    verified = pairs.join(one, "x").join(two, "y").where(
-        _similar(both, F.col("nx"), F.col("ny"), num, den)
-    )
-    return cut(verified.select("x", "y").unionByName(_links_in_cells(cells, sets, num, den)))
+    discard(met)
+    near = _near_in_cells(cells, sketches, components(found, "x", "y"), num, den)
+    discard(cells)
+    weight = near.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-weight // PAIR_WEIGHT))
+    for part in range(parts):
+        here = near.where(_part("cell", parts, part))
+        sets = _sets_of(rows, here.select("row").distinct(), n)
+        found = found.unionByName(cut(_links_in_cells(here, sets, num, den)))
+        discard(sets)
+    return found
 
 
 def similar_groups(

@@ -48,15 +48,36 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 _watchers: list[list[str]] = []
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile takes its shuffle files along when it ends.
+
+    Else they stay until the driver happens to collect its garbage, and pile up
+    over the steps of a job.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it from there.
 
     As lasting as a checkpoint, but computed once, and later reads see only
-    the columns they need.
+    the columns they need. The shuffle files of the writing go with it.
     """
     path = scratch(df.sparkSession, "cut")
-    df.write.parquet(path)
+    with _shuffles_deleted(df.sparkSession):
+        df.write.parquet(path)
     for watcher in _watchers:
         watcher.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
